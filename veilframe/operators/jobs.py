@@ -94,5 +94,5 @@ def job_progress(chunk_status: DataFrame) -> DataFrame:
         "total_chunks",
         F.floor(n / total * 50).cast("int").alias("progress"),
         status.alias("status"),
-        (F.unix_micros("last_time") - F.unix_micros("start_time")).alias("_us"),
+        (F.unix_micros(F.col("last_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))).alias("_us"),
     ).withColumn("duration", F.col("_us") / 1e6).drop("_us")
