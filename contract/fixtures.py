@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.sources.documents import read_documents
 from veilframe.sources.weights import Weights, layer_sizes
 
 K = "c_custkey"
@@ -56,7 +57,7 @@ AR_TEXT = (
 US_SQL = f"select {K} as doc_id, 0 as chunk_idx, {TEXT} as text from customer"
 AR_SQL = f"select {K} as doc_id, 0 as chunk_idx, {AR_TEXT} as text from customer"
 CORPUS_SQL = f"select doc_id, 0 as chunk_idx, text from documents union all select -1 - {K} as doc_id, 0 as chunk_idx, {TEXT} as text from customer"
-FIELDS_SQL = f"select {K} as doc_id, {', '.join(f'{sql} as {name}' for name, sql in PARTS.items())} from customer"
+FIELDS_SQL = f"select {K} as doc_id, {', '.join(f'{sql} as {name}' for name, sql in PARTS.items())}, {TEXT} as text from customer"
 
 # --- what external taggers would have written -------------------------------
 TAGGED = {
@@ -73,9 +74,8 @@ TAGGED = {
 
 def spans_sql(tagger: str) -> str:
     rows = [
-        f"select f.doc_id, 0 as chunk_idx, {i} as ord, '{label}' as label, cast(instr(u.text, {value}) - 1 as int) as span_start, "
-        f"cast(instr(u.text, {value}) - 1 + length({value}) as int) as span_end, cast({score} as double) as score "
-        "from fields f join us u on f.doc_id = u.doc_id"
+        f"select doc_id, 0 as chunk_idx, {i} as ord, '{label}' as label, cast(instr(text, {value}) - 1 as int) as span_start, "
+        f"cast(instr(text, {value}) - 1 + length({value}) as int) as span_end, cast({score} as double) as score from fields"
         for i, (label, value, score) in enumerate(TAGGED[tagger])
     ]
     return " union all ".join(rows)
@@ -83,7 +83,7 @@ def spans_sql(tagger: str) -> str:
 
 # --- what a language model would have answered ------------------------------
 def _item(type_: str, value: str, shift: int = 0, confidence: str = ', "confidence": 0.9') -> str:
-    at = f"(instr(u.text, {value}) - 1 + {shift})"
+    at = f"(instr(text, {value}) - 1 + {shift})"
     return (
         f"concat('{{\"type\": \"{type_}\", \"value\": \"', {value}, '\"{confidence}, \"start_index\": ', "
         f"cast({at} as string), ', \"end_index\": ', cast({at} + length({value}) as string), '}}')"
@@ -92,13 +92,13 @@ def _item(type_: str, value: str, shift: int = 0, confidence: str = ', "confiden
 
 _PAIR = f"concat('[', {_item('email', 'mail')}, ', ', {_item('social_security_number', 'ssn')}, ']')"
 RESPONSES_SQL = (
-    "select f.doc_id, 0 as chunk_idx, case f.doc_id % 6 "
+    "select doc_id, 0 as chunk_idx, case doc_id % 6 "
     f"when 0 then {_PAIR} "
     f"when 1 then concat('Here you go:', chr(10), '```json', chr(10), {_PAIR}, chr(10), '```') "
     f"when 2 then concat('[', {_item('email', 'mail', 3)}, ']') "
     f"when 3 then concat('[', {_item('email', 'mail', 0, '')}, ', ', {_item('phone_number', 'tel')}, ']') "
     f"when 4 then {_item('email', 'mail')} "
-    "else 'I found no personal data.' end as response from fields f join us u on f.doc_id = u.doc_id"
+    "else 'I found no personal data.' end as response from fields"
 )
 
 # --- job requests and messages ----------------------------------------------
@@ -147,34 +147,37 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def texts(self, name: str, *columns: str) -> DataFrame:
+        return read_documents(self.spark, f"{self.sf_dir}/{name}.parquet", columns=list(columns))
+
     def _sql(self, sql: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(
             _braced(sql.replace("FMT(", "format_string("), tables), **tables
         )
 
     def us(self) -> DataFrame:
-        return self._sql(US_SQL, customer=self.read("customer"))
+        return self._sql(US_SQL, customer=self.texts("customer", "c_custkey"))
 
     def ar(self) -> DataFrame:
-        return self._sql(AR_SQL, customer=self.read("customer"))
+        return self._sql(AR_SQL, customer=self.texts("customer", "c_custkey"))
 
     def documents(self) -> DataFrame:
-        return self.read("documents").select("doc_id", "text")
+        return self.texts("documents", "doc_id", "text")
 
     def corpus(self) -> DataFrame:
-        return self._sql(CORPUS_SQL, customer=self.read("customer"), documents=self.read("documents"))
+        return self._sql(CORPUS_SQL, customer=self.texts("customer", "c_custkey"), documents=self.texts("documents", "doc_id", "text"))
 
     def fields(self) -> DataFrame:
-        return self._sql(FIELDS_SQL, customer=self.read("customer"))
+        return self._sql(FIELDS_SQL, customer=self.texts("customer", "c_custkey"))
 
     def spans(self, tagger: str) -> DataFrame:
-        return self._sql(spans_sql(tagger), us=self.us(), fields=self.fields())
+        return self._sql(spans_sql(tagger), fields=self.fields())
 
     def responses(self) -> DataFrame:
-        return self._sql(RESPONSES_SQL, us=self.us(), fields=self.fields())
+        return self._sql(RESPONSES_SQL, fields=self.fields())
 
     def jobs(self) -> DataFrame:
-        return self._sql(JOBS_SQL, customer=self.read("customer"))
+        return self._sql(JOBS_SQL, customer=self.texts("customer", "c_custkey"))
 
     def vectors(self) -> DataFrame:
         return self.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

@@ -24,6 +24,7 @@ from veilframe.functions import patterns as fp
 from veilframe.functions.text import natural_break
 from veilframe.functions.tokens import consistent_token
 from veilframe.operators import chunking, classify, combine, detection, jobs, responses, routing, spans, transform
+from veilframe.operators.steps import spread
 from veilframe.plans.detect import detect_documents, detect_long_documents
 from veilframe.plans.service import DetectionService
 from veilframe.plans.transform import transform_documents
@@ -55,7 +56,7 @@ def r6(column, name: str | None = None):
 
 def flat(df: DataFrame, column: str = "findings") -> DataFrame:
     """One row per finding of an array column."""
-    f = df.select("doc_id", F.explode(column).alias("f"))
+    f = spread(df, column, ["doc_id"], item="f")
     return f.select(
         "doc_id", F.col("f.type").alias("type"), joined(F.col("f.matches"), "matches"),
         F.col("f.detection_method").alias("method"), F.col("f.confidence").alias("confidence"),
@@ -524,7 +525,7 @@ def combine_results(t):
 def text_with_results(t):
     docs = t.documents()
     unique = combine.dedup_findings(detection.finding_rows(detection.detect_regex(docs)))
-    out = combine.verdicts(docs, unique, combine.final_scores(unique))
+    out = combine.verdicts(docs, unique)
     return out.select("doc_id", "text", "pii_detected", joined(F.transform("pii_matches", lambda f: f["type"]), "types"))
 
 
@@ -666,7 +667,7 @@ def _complete(t, salt=None) -> str:
 @query
 def stream_complete_jobs(t):
     scores = t.spark.read.parquet(f"{_complete(t)}/scores").drop("batch")
-    return scores.filter(F.col("method") == "regex").select("job_id", "method", r6("score"))
+    return scores.select("job_id", "method", r6("score"))
 
 
 @query

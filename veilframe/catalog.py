@@ -173,6 +173,28 @@ BREAK_CHARS = r".!?\n\r\t"
 TRANSFORM_NAMES = ["pseudonymize", "anonymize", "tokenize", "mask"]
 
 
+# Shapes that the text must have somewhere for a pattern to have a hit.  One
+# search per shape settles all patterns of that shape for most texts.
+_DIGIT_GROUPS = r"\d{3}\D{0,2}\d{2}"
+_LETTER_DIGITS = r"[A-Z]\d{4}"
+_SHAPES = {
+    "social_security": _DIGIT_GROUPS,
+    "passport": _LETTER_DIGITS,
+    "driver_license": _LETTER_DIGITS,
+    "phone": _DIGIT_GROUPS,
+    "credit_card": _DIGIT_GROUPS,
+    "bank_account": _DIGIT_GROUPS,
+    "tax_id": _DIGIT_GROUPS,
+    "employee_id": _LETTER_DIGITS,
+    "medical_record": _LETTER_DIGITS,
+    "insurance_number": _DIGIT_GROUPS,
+    "argentina_dni": _DIGIT_GROUPS,
+    "argentina_dni_dot": _DIGIT_GROUPS,
+    "argentina_drivers_license": _DIGIT_GROUPS,
+    "argentina_cuil": _DIGIT_GROUPS,
+    "argentina_passport": _DIGIT_GROUPS,
+}
+
 # What the first character of a hit can be.  A lookahead for it costs one
 # character test per position and keeps the engine away from the far dearer
 # Unicode word-boundary test; it is implied by the pattern, so hits are equal.
@@ -208,8 +230,10 @@ class PatternSpec:
     context: str | None = None
     example: str | None = None
     lead: str | None = None
-    # a plain string every hit contains / whether every hit has a digit
+    # a plain string / a shape that stands in every text with a hit, and
+    # whether every hit has a digit
     literal: str | None = None
+    shape: str | None = None
     has_digit: bool = False
 
 
@@ -218,7 +242,7 @@ def general_specs(confidence: float | None = None) -> list[PatternSpec]:
     return [
         PatternSpec(
             name, pattern, confidence=confidence, lead=_LEADS.get(name),
-            literal="@" if name == "email" else None, has_digit=name != "email",
+            literal="@" if name == "email" else None, shape=_SHAPES.get(name), has_digit=name != "email",
         )
         for name, pattern in GENERAL_PATTERNS.items()
     ]
@@ -230,7 +254,7 @@ def argentina_specs() -> list[PatternSpec]:
         PatternSpec(
             name, info["pattern"], method="international_regex", confidence=info["confidence"],
             country=info["countries"][0], description=info["description"], context=info["context"],
-            example=info["example"], lead=_LEADS[name], has_digit=True,
+            example=info["example"], lead=_LEADS[name], shape=_SHAPES[name], has_digit=True,
         )
         for name, info in ARGENTINA_PATTERNS.items()
     ]
@@ -239,7 +263,7 @@ def argentina_specs() -> list[PatternSpec]:
 def ungated_argentina_specs(confidence: float = REGEX_CONFIDENCE) -> list[PatternSpec]:
     """Argentine patterns as plain regex patterns: no context, one confidence."""
     return [
-        PatternSpec(s.name, s.pattern, confidence=confidence, lead=s.lead, has_digit=True)
+        PatternSpec(s.name, s.pattern, confidence=confidence, lead=s.lead, shape=s.shape, has_digit=True)
         for s in argentina_specs()
     ]
 

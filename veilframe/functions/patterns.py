@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -65,10 +66,13 @@ def gated_hits(text: Column, spec: PatternSpec) -> Column:
     return F.coalesce(F.get(kept, F.lit(0)), F.array().cast(NO_HITS))
 
 
-def _finding(text: Column, spec: PatternSpec) -> Column:
+def _finding(text: Column, spec: PatternSpec, shapes: Column) -> Column:
+    hits = find_spec(text, spec)
+    if spec.shape is not None:
+        hits = F.coalesce(F.when(shapes[_flag(spec.shape)], hits), F.array().cast(NO_HITS))
     return F.struct(
         F.lit(spec.name).alias("type"),
-        find_spec(text, spec).alias("matches"),
+        hits.alias("matches"),
         F.lit(spec.method).alias("detection_method"),
         F.lit(spec.confidence).cast("double").alias("confidence"),
         F.lit(None).cast(FINDING["location"].dataType).alias("location"),
@@ -77,6 +81,10 @@ def _finding(text: Column, spec: PatternSpec) -> Column:
     )
 
 
+def _flag(shape: str) -> str:
+    return f"s{zlib.crc32(shape.encode())}"
+
+
 def _reported(text: Column, specs: Sequence[PatternSpec]):
     """Predicate on a finding: it has hits, and its context words are there."""
     contexts: dict[str, list[str]] = {}
@@ -101,18 +109,27 @@ def pattern_findings(text: Column, specs: Sequence[PatternSpec]) -> Column:
 
     All patterns are literals in one expression, so each is compiled once per
     task, and the hits of a text are found without a join or a shuffle.  A text
-    with neither a digit nor an ``@`` is settled by one search.
+    with neither a digit nor an ``@`` is settled by one search; else one search
+    per shape (the one-element array holds their outcomes) picks the patterns
+    that are worth running.
     """
     if not specs:
         return F.array().cast(NO_FINDINGS)
-    found = F.filter(F.array(*[_finding(text, spec) for spec in specs]), _reported(text, specs))
+    shapes = sorted({spec.shape for spec in specs if spec.shape is not None})
+    flags = F.struct(F.lit(True).alias("any"), *[text.rlike(f"(?U){s}").alias(_flag(s)) for s in shapes])
+    reported = _reported(text, specs)
+    found = F.get(
+        F.transform(
+            F.array(flags),
+            lambda has: F.filter(F.array(*[_finding(text, spec, has) for spec in specs]), reported),
+        ),
+        F.lit(0),
+    )
     if all(spec.has_digit for spec in specs):
-        worth = text.rlike(r"(?U)\d")
+        found = F.when(text.rlike(r"(?U)\d"), found)
     elif all(spec.has_digit or spec.literal == "@" for spec in specs):
-        worth = text.rlike(r"(?U)[\d@]")
-    else:
-        return found
-    return F.coalesce(F.when(worth, found), F.array().cast(NO_FINDINGS))
+        found = F.when(text.rlike(r"(?U)[\d@]"), found)
+    return F.coalesce(found, F.array().cast(NO_FINDINGS))
 
 
 def wants_argentina(countries: Column) -> Column:

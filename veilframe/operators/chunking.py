@@ -7,23 +7,21 @@ from pyspark.sql import functions as F
 
 from veilframe.catalog import CHUNK_SIZE, OVERLAP
 from veilframe.functions.text import break_shift, pieces, with_overlap
+from veilframe.operators.steps import compute_once, spread
 
 
 def with_chunks(docs: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Add `chunks`, the array of a document's overlapping chunks, to its row."""
     if chunk_size < 1:
         raise ValueError("chunk_size must be positive")
-    cut = docs.withColumn("_pieces", pieces(F.col("text"), chunk_size))
-    return cut.withColumn("chunks", with_overlap(F.col("_pieces"), chunk_size, overlap)).drop("_pieces")
+    cut = compute_once(docs, "_pieces", pieces(F.col("text"), chunk_size))
+    return compute_once(cut, "chunks", with_overlap(F.col("_pieces"), chunk_size, overlap)).drop("_pieces")
 
 
 def _one_row_per_chunk(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "chunks")]
-    return docs.select(
-        *kept,
-        F.size("chunks").alias("total_chunks"),
-        F.posexplode("chunks").alias("chunk_idx", "text"),
-    )
+    counted = docs.withColumn("total_chunks", F.size("chunks"))
+    return spread(counted, "chunks", [*kept, "total_chunks"], "chunk_idx", "text")
 
 
 def chunk_documents(docs: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -49,9 +47,10 @@ def chunk_at_breaks(docs: DataFrame, chunk_size: int = CHUNK_SIZE, window: int =
     """
     if 2 * window > chunk_size:
         raise ValueError("window may be at most half of chunk_size")
-    cut = docs.withColumn("_p", pieces(F.col("text"), chunk_size))
+    cut = compute_once(docs, "_p", pieces(F.col("text"), chunk_size))
     p = F.col("_p")
-    shifted = cut.withColumn(
+    shifted = compute_once(
+        cut,
         "_d",
         F.transform(
             p,
@@ -71,7 +70,7 @@ def chunk_at_breaks(docs: DataFrame, chunk_size: int = CHUNK_SIZE, window: int =
 
     whole = F.transform(p, rejoin)
     chunks = F.when(F.size(p) > 1, F.filter(whole, lambda c: c != "")).otherwise(p)
-    return _one_row_per_chunk(shifted.withColumn("chunks", chunks).drop("_p", "_d"))
+    return _one_row_per_chunk(compute_once(shifted, "chunks", chunks).drop("_p", "_d"))
 
 
 def reassemble_chunks(

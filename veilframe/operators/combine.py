@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilframe.catalog import DEFAULT_CONFIDENCE
-from veilframe.functions.findings import match_key
-from veilframe.schemas import FINDING_FIELDS, FINDING_ROW
+from veilframe.functions.findings import match_key, score_map
+from veilframe.functions.patterns import NO_FINDINGS
+from veilframe.schemas import CLASSIFIER_RESULT, FINDING_FIELDS, FINDING_ROW
 
 ORDER = ["method_rank", "chunk_idx", "ord"]
 
@@ -120,29 +121,32 @@ def type_counts(findings: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def verdicts(
-    docs: DataFrame, unique: DataFrame, scores: DataFrame, classified: DataFrame | None = None, key: str = "doc_id"
+    docs: DataFrame,
+    unique: DataFrame,
+    classified: DataFrame | None = None,
+    key: str = "doc_id",
+    with_confidence: bool = True,
 ) -> DataFrame:
-    """One row per document from deduplicated findings and scores.
+    """One row per document from deduplicated findings.
 
     Documents without findings have a row too.  The distinct findings of one
-    document become one array, as the document itself is one row; callers that
-    want no arrays use `unique` and `scores` as they are.
+    document become one array, as the document itself is one row, and are
+    scored in it; `final_scores` gives the scores as a table instead, without
+    arrays.  `docs` is shuffled once, whatever is joined to it.
     """
     listed = F.array_sort(F.collect_list(F.struct(*ORDER, F.struct(*FINDING_FIELDS).alias("f"))))
     per_doc = unique.groupBy(key).agg(F.transform(listed, lambda x: x["f"]).alias("pii_matches"))
-    score_maps = scores.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "score")))).alias("confidence_scores")
-    )
-    out = docs.join(per_doc, key, "left").join(score_maps, key, "left")
+    out = docs.join(per_doc, key, "left")
+    probability = None
     if classified is None:
-        out = out.withColumn("quantum_analysis", F.lit(None).cast("string"))
+        out = out.withColumn("quantum_analysis", F.lit(None).cast(CLASSIFIER_RESULT))
     else:
         out = out.join(classified.select(key, "quantum_analysis"), key, "left")
-    empty = F.array().cast(per_doc.schema["pii_matches"].dataType)
-    return out.withColumns({
-        "pii_matches": F.coalesce("pii_matches", empty),
-        "pii_detected": F.coalesce(F.size("pii_matches") > 0, F.lit(False)),
-        "confidence_scores": F.coalesce("confidence_scores", F.create_map().cast("map<string,double>")),
+        probability = F.col("quantum_analysis.pii_probability")
+    filled = out.withColumn("pii_matches", F.coalesce("pii_matches", F.array().cast(NO_FINDINGS)))
+    return filled.withColumns({
+        "pii_detected": F.size("pii_matches") > 0,
+        "confidence_scores": score_map(F.col("pii_matches"), with_confidence, probability),
     })
 
 
@@ -157,4 +161,4 @@ def combine_results(
     unique = dedup_findings(union_methods(*findings), key)
     if classified is not None and "chunk_idx" in classified.columns:
         classified = first_chunk_quantum(classified)
-    return verdicts(docs, unique, final_scores(unique, classified, key), classified, key)
+    return verdicts(docs, unique, classified, key)

@@ -16,6 +16,7 @@ from veilframe.catalog import (
     ungated_argentina_specs,
 )
 from veilframe.functions.patterns import NO_FINDINGS, pattern_findings, wants_argentina
+from veilframe.operators.steps import compute_once, spread
 from veilframe.schemas import FINDING_FIELDS
 
 Countries = Sequence[str] | Column | None
@@ -50,7 +51,7 @@ def detect_regex(
     df: DataFrame, countries: Countries = None, specs: Sequence[PatternSpec] | None = None
 ) -> DataFrame:
     """Add `findings` to every row of a table with `text`."""
-    return df.withColumn("findings", regex_findings(F.col("text"), countries, specs))
+    return compute_once(df, "findings", regex_findings(F.col("text"), countries, specs))
 
 
 def scored_specs(international: bool = True) -> list[PatternSpec]:
@@ -62,26 +63,25 @@ def scored_specs(international: bool = True) -> list[PatternSpec]:
 
 def detect_regex_scored(df: DataFrame, international: bool = True) -> DataFrame:
     """As `detect_regex`, every finding with a confidence."""
-    return df.withColumn("findings", pattern_findings(F.col("text"), scored_specs(international)))
+    return compute_once(df, "findings", pattern_findings(F.col("text"), scored_specs(international)))
 
 
 def detect_argentina(df: DataFrame) -> DataFrame:
     """Add the findings of the Argentine patterns, context words required."""
-    return df.withColumn("findings", pattern_findings(F.col("text"), argentina_specs()))
+    return compute_once(df, "findings", pattern_findings(F.col("text"), argentina_specs()))
 
 
 def detect_international(df: DataFrame, countries: Countries) -> DataFrame:
     """Country patterns for the supported countries; none for the others."""
     found = _argentina(F.col("text"), countries)
-    return df.withColumn("findings", F.array().cast(NO_FINDINGS) if found is None else found)
+    return compute_once(df, "findings", F.array().cast(NO_FINDINGS) if found is None else found)
 
 
 def finding_rows(df: DataFrame, method_rank: int = 0) -> DataFrame:
     """One row per finding from rows that carry `findings`."""
     if "chunk_idx" not in df.columns:
         df = df.withColumn("chunk_idx", F.lit(0))
-    spread = df.select("doc_id", "chunk_idx", F.posexplode("findings").alias("ord", "f"))
-    return spread.select(
+    return spread(df, "findings", ["doc_id", "chunk_idx"], "ord", "f").select(
         "doc_id", "chunk_idx", F.lit(method_rank).alias("method_rank"), "ord",
         *[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS],
     )
@@ -98,4 +98,4 @@ def docs_x_patterns(docs: DataFrame, patterns: DataFrame, max_patterns: int = 10
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns")
     specs = [PatternSpec(r["name"], r["pattern"]) for r in sorted(rows, key=lambda r: r["name"])]
-    return docs.withColumn("findings", pattern_findings(F.col("text"), specs))
+    return compute_once(docs, "findings", pattern_findings(F.col("text"), specs))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.catalog import METHOD_RANK, PROMPT_GUIDE, PROMPT_HEAD, PROMPT_TAIL, PROMPT_TYPES, RESPONSE_KEYS
 from veilframe.operators.skew import join_many_to_one
+from veilframe.operators.steps import compute_once, spread
 
 KEYS = ["doc_id", "chunk_idx"]
 
@@ -49,31 +52,51 @@ def _items(answer: Column) -> Column:
     return F.coalesce(listed, F.from_json(F.when(~is_object, bracketed), kind, strict))
 
 
+def _has_all_keys(item: Column) -> Column:
+    return reduce(and_, [F.map_contains_key(item, key) for key in RESPONSE_KEYS])
+
+
+def _number(value: Column, kind: str) -> Column:
+    """The number a JSON value stands for; NULL if it stands for none."""
+    number = value.try_cast("double")
+    return number if kind == "double" else number.try_cast(kind)
+
+
+def _as_item(item: Column) -> Column:
+    return F.struct(
+        item["type"].alias("type"),
+        item["value"].alias("value"),
+        _number(item["confidence"], "double").alias("confidence"),
+        _number(item["start_index"], "int").alias("start"),
+        _number(item["end_index"], "int").alias("end"),
+    )
+
+
+def _in_place(text: Column, item: Column) -> Column:
+    covered = F.substring(text, item["start"] + 1, item["end"] - item["start"])
+    return (item["start"] >= 0) & (covered == item["value"])
+
+
 def parse_responses(chunks: DataFrame, responses: DataFrame, rank: int = METHOD_RANK["llm_semantic"]) -> DataFrame:
     """Findings from answers: items with all keys whose value stands in the
-    text at the given place.  Anything else gives no rows."""
-    spread = responses.select(*KEYS, F.posexplode(_items(F.col("response"))).alias("ord", "item"))
-    complete = spread.filter(" AND ".join(f"map_contains_key(item, '{key}')" for key in RESPONSE_KEYS))
-    named = complete.select(
-        *KEYS,
-        "ord",
-        F.col("item")["type"].alias("type"),
-        F.col("item")["value"].alias("value"),
-        F.expr("try_cast(item['confidence'] as double)").alias("confidence"),
-        F.expr("try_cast(try_cast(item['start_index'] as double) as int)").alias("span_start"),
-        F.expr("try_cast(try_cast(item['end_index'] as double) as int)").alias("span_end"),
-    )
-    joined = join_many_to_one(named, chunks.select(*KEYS, "text"), KEYS)
-    start, end = F.col("span_start"), F.col("span_end")
-    placed = joined.filter((start >= 0) & (F.substring("text", start + 1, end - start) == F.col("value")))
-    return placed.select(
+    text at the given place.  Anything else gives no rows.
+
+    Items are read and checked within the row of answer and text; only those
+    that hold leave it, without the text.
+    """
+    joined = join_many_to_one(responses.select(*KEYS, "response"), chunks.select(*KEYS, "text"), KEYS)
+    parsed = compute_once(joined, "_items", _items(F.col("response")))
+    complete = F.filter("_items", _has_all_keys)
+    placed = F.filter(F.transform(complete, _as_item), lambda item: _in_place(F.col("text"), item))
+    checked = compute_once(parsed, "_items", placed)
+    return spread(checked, "_items", KEYS, "ord").select(
         *KEYS,
         F.lit(rank).alias("method_rank"),
         "ord",
-        "type",
-        F.array("value").alias("matches"),
+        F.col("item.type").alias("type"),
+        F.array("item.value").alias("matches"),
         F.lit("llm_semantic").alias("detection_method"),
-        "confidence",
+        F.col("item.confidence").alias("confidence"),
         F.lit(None).cast("struct<start:int,end:int>").alias("location"),
         F.lit(None).cast("string").alias("country"),
         F.lit(None).cast("string").alias("description"),

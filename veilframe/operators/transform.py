@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.catalog import DEFAULT_TRANSFORM
 from veilframe.functions.findings import instance_count, type_count_map
 from veilframe.functions.tokens import check_method, redact
+from veilframe.operators.steps import compute_once
 
 
 def transform_data(
@@ -24,8 +25,8 @@ def transform_data(
     """
     if isinstance(method, str):
         check_method(method)
-    return df.withColumn(
-        "transformed_text", redact(F.col("text"), F.col("pii_matches"), method, F.col(key), salt, nonce)
+    return compute_once(
+        df, "transformed_text", redact(F.col("text"), F.col("pii_matches"), method, F.col(key), salt, nonce)
     )
 
 

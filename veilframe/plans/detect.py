@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.catalog import CHUNK_SIZE, OVERLAP, PatternSpec
-from veilframe.functions.findings import dedup_array, score_map
+from veilframe.functions.findings import score_map
 from veilframe.functions.patterns import NO_FINDINGS
 from veilframe.operators.chunking import chunk_documents, with_chunks
 from veilframe.operators.combine import combine_results
 from veilframe.operators.detection import detect_regex, finding_rows, regex_findings
+from veilframe.operators.in_row import dedup_array
+from veilframe.operators.steps import compute_once
 
 
 def detect_documents(
@@ -31,8 +33,7 @@ def detect_documents(
     chunked = with_chunks(docs, chunk_size, overlap)
     per_chunk = F.transform("chunks", lambda chunk: regex_findings(chunk, countries, specs))
     found = F.coalesce(F.flatten(per_chunk), F.array().cast(NO_FINDINGS))
-    listed = chunked.withColumn("pii_matches", found).drop("chunks")
-    unique = dedup_array(listed, "pii_matches")
+    unique = dedup_array(compute_once(chunked, "pii_matches", found).drop("chunks"), "pii_matches")
     if "quantum_analysis" in docs.columns:
         probability = F.col("quantum_analysis.pii_probability")
     else:

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.catalog import ARGENTINA_NAMES, SERVICE_DEFAULTS, SERVICE_RANK, PatternSpec, argentina_specs, merge_specs
-from veilframe.functions.findings import dedup_array, score_map
+from veilframe.functions.findings import score_map
 from veilframe.functions.patterns import NO_FINDINGS, pattern_findings
 from veilframe.operators.classify import classify_documents
-from veilframe.operators.combine import dedup_findings_ci, share_scores, union_methods, verdicts
+from veilframe.operators.combine import dedup_findings_ci, union_methods, verdicts
 from veilframe.operators.detection import finding_rows, scored_specs
+from veilframe.operators.in_row import dedup_array
 from veilframe.operators.responses import parse_responses
 from veilframe.operators.spans import detect_ner, detect_presidio, presidio_entities
+from veilframe.operators.steps import compute_once
+from veilframe.schemas import CLASSIFIER_RESULT
 from veilframe.sources.weights import Weights
 
 
@@ -59,7 +62,7 @@ class DetectionService:
         tables of their own and are merged by document.
         """
         methods = list(methods or self.config["detection_methods"])
-        searched = docs.withColumn("pii_matches", self._pattern_findings(methods))
+        searched = compute_once(docs, "pii_matches", self._pattern_findings(methods))
         classified = None
         if "quantum_classification" in methods and self.weights is not None and "embedding" in docs.columns:
             searched = classify_documents(searched, self.weights)
@@ -71,11 +74,11 @@ class DetectionService:
                 "pii_detected": F.size("pii_matches") > 0,
                 "confidence_scores": score_map(F.col("pii_matches"), with_confidence=False),
             })
-            return out if classified else out.withColumn("quantum_analysis", F.lit(None).cast("string"))
+            return out if classified else out.withColumn("quantum_analysis", F.lit(None).cast(CLASSIFIER_RESULT))
         rows = finding_rows(searched.withColumnRenamed("pii_matches", "findings"))
         unique = dedup_findings_ci(union_methods(rows, *outside))
         analysed = searched.select("doc_id", classified) if classified else None
-        return verdicts(docs, unique, share_scores(unique), analysed)
+        return verdicts(docs, unique, analysed, with_confidence=False)
 
     def _model_findings(self, chunks: DataFrame, methods: Sequence[str]) -> list[DataFrame]:
         found = []

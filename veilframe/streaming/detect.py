@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.catalog import ML_METHODS, REGEX_METHODS
 from veilframe.operators.classify import classify_documents
 from veilframe.operators.detection import regex_findings
 from veilframe.operators.routing import asks_for
-from veilframe.catalog import ML_METHODS, REGEX_METHODS
+from veilframe.operators.steps import compute_once
 from veilframe.sources.weights import Weights
 
 
@@ -32,7 +33,7 @@ def stream_detect_regex(messages: DataFrame) -> DataFrame:
     Countries are those of the message, US where it names none.
     """
     countries = F.split(F.coalesce("countries", F.lit("US")), ",")
-    found = _texts(messages, REGEX_METHODS).withColumn("pii_matches", regex_findings(F.col("text"), countries))
+    found = compute_once(_texts(messages, REGEX_METHODS), "pii_matches", regex_findings(F.col("text"), countries))
     return _reply(found, "regex")
 
 

@@ -15,6 +15,7 @@ from veilframe.catalog import METHOD_RANK
 from veilframe.operators.chunking import reassemble_chunks
 from veilframe.operators.combine import dedup_findings, final_scores, verdicts
 from veilframe.operators.jobs import latest_chunk_result, needed_messages
+from veilframe.operators.steps import spread
 from veilframe.operators.transform import transform_data, transform_report
 from veilframe.schemas import FINDING_FIELDS
 from veilframe.sources.messages import JOB_BUCKETS, STORED, with_job_bucket
@@ -46,10 +47,9 @@ def stream_expire_jobs(messages: DataFrame, timeout: str) -> DataFrame:
 
 def job_findings(messages: DataFrame) -> DataFrame:
     """Findings of result messages as rows keyed by job."""
-    results = messages.filter((F.col("action") == "results") & (F.size("pii_matches") > 0))
     rank = F.when(F.col("service") == "regex", METHOD_RANK["regex"]).otherwise(METHOD_RANK["llm_semantic"])
-    spread = results.select("job_id", "chunk_idx", rank.alias("method_rank"), F.posexplode("pii_matches").alias("ord", "f"))
-    return spread.select(
+    results = messages.filter(F.col("action") == "results").withColumn("method_rank", rank)
+    return spread(results, "pii_matches", ["job_id", "chunk_idx", "method_rank"], "ord", "f").select(
         "job_id", "chunk_idx", "method_rank", "ord", *[F.col(f"f.{name}").alias(name) for name in FINDING_FIELDS]
     )
 
@@ -97,7 +97,7 @@ def stream_complete_jobs(
             unique.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
             scores.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
             if salt is not None:
-                rewritten = _rewrite(mine.drop("pii_matches", "quantum"), unique, scores, chunk_size, overlap, salt, nonce)
+                rewritten = _rewrite(mine.drop("pii_matches", "quantum"), unique, chunk_size, overlap, salt, nonce)
                 rewritten.write.mode("overwrite").parquet(f"{out}/texts/batch={batch_id}")
         finally:
             complete.unpersist()
@@ -111,7 +111,7 @@ def stream_complete_jobs(
 
 
 def _rewrite(
-    messages: DataFrame, unique: DataFrame, scores: DataFrame, chunk_size: int, overlap: int, salt: str, nonce: str
+    messages: DataFrame, unique: DataFrame, chunk_size: int, overlap: int, salt: str, nonce: str
 ) -> DataFrame:
     """Texts of the jobs that asked for a transformation, with their reports."""
     asked = latest_chunk_result(
@@ -119,7 +119,7 @@ def _rewrite(
     )
     method = asked.filter(F.col("chunk_idx") == 0).select("job_id", "transform_method")
     texts = reassemble_chunks(asked, chunk_size, overlap, "job_id")
-    docs = verdicts(texts.join(method, "job_id"), unique, scores, key="job_id")
+    docs = verdicts(texts.join(method, "job_id"), unique, key="job_id")
     return stream_transform(docs, salt, nonce)
 
 
