@@ -25,7 +25,7 @@ from veilframe.functions.text import natural_break
 from veilframe.functions.tokens import consistent_token
 from veilframe.operators import chunking, classify, combine, detection, jobs, responses, routing, spans, transform
 from veilframe.operators.steps import spread
-from veilframe.plans.detect import detect_documents, detect_long_documents
+from veilframe.plans.detect import detect_documents, detect_jobs, detect_long_documents
 from veilframe.plans.service import DetectionService
 from veilframe.plans.transform import transform_documents
 from veilframe.sources import catalogue, documents, messages, results, weights
@@ -717,6 +717,18 @@ def detect_document_findings(t):
     return flat(_verdicts(t), "pii_matches").drop("confidence")
 
 
+@query
+def detect_jobs_(t):
+    vectors = t.vectors()
+    asked = job_requests(t.jobs()).select("doc_id", "methods", "countries").join(t.us().drop("chunk_idx"), "doc_id")
+    out = detect_jobs(
+        asked.join(vectors, "doc_id", "left"), t.spans("presidio"), t.spans("ner"), t.responses(), rule_weights(), CHUNK, OVERLAP
+    )
+    return out.select(
+        "doc_id", F.size("pii_matches").cast("long").alias("n_findings"), F.explode_outer("confidence_scores").alias("method", "score")
+    ).select("doc_id", "n_findings", "method", r6("score"))
+
+
 @query
 def detect_long_documents_(t):
     out = detect_long_documents(t.corpus(), CHUNK, OVERLAP, None)

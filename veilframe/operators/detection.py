@@ -87,15 +87,23 @@ def finding_rows(df: DataFrame, method_rank: int = 0) -> DataFrame:
     )
 
 
-def docs_x_patterns(docs: DataFrame, patterns: DataFrame, max_patterns: int = 1000) -> DataFrame:
+PATTERNS_PER_STEP = 200
+
+
+def docs_x_patterns(docs: DataFrame, patterns: DataFrame, max_patterns: int = 10000) -> DataFrame:
     """Every document searched with every pattern of a table (name, pattern).
 
     The table is the user's own catalogue; it is read by the driver, with its
-    size checked, and unrolled into one projection.  Documents are scanned
-    once, nothing is shuffled, and each pattern is compiled once per task.
+    size checked, and unrolled into projections of up to 200 patterns.
+    Documents are scanned once, nothing is shuffled or crossed, and each
+    pattern is compiled once per task.
     """
     rows = patterns.select("name", "pattern").limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} patterns")
     specs = [PatternSpec(r["name"], r["pattern"]) for r in sorted(rows, key=lambda r: r["name"])]
-    return compute_once(docs, "findings", pattern_findings(F.col("text"), specs))
+    found = compute_once(docs, "findings", F.array().cast(NO_FINDINGS))
+    for i in range(0, len(specs), PATTERNS_PER_STEP):
+        step = pattern_findings(F.col("text"), specs[i : i + PATTERNS_PER_STEP])
+        found = compute_once(found, "findings", F.concat("findings", step))
+    return found

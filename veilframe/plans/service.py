@@ -8,9 +8,19 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.catalog import ARGENTINA_NAMES, SERVICE_DEFAULTS, SERVICE_RANK, PatternSpec, argentina_specs, merge_specs
+from veilframe.catalog import (
+    ARGENTINA_NAMES,
+    DEFAULT_TRANSFORM,
+    SERVICE_DEFAULTS,
+    SERVICE_RANK,
+    TRANSFORM_NAMES,
+    PatternSpec,
+    argentina_specs,
+    merge_specs,
+)
 from veilframe.functions.findings import score_map
 from veilframe.functions.patterns import NO_FINDINGS, pattern_findings
+from veilframe.functions.tokens import check_method
 from veilframe.operators.classify import classify_documents
 from veilframe.operators.combine import dedup_findings_ci, union_methods, verdicts
 from veilframe.operators.detection import finding_rows, scored_specs
@@ -18,6 +28,7 @@ from veilframe.operators.in_row import dedup_array
 from veilframe.operators.responses import parse_responses
 from veilframe.operators.spans import detect_ner, detect_presidio, presidio_entities
 from veilframe.operators.steps import compute_once
+from veilframe.operators.transform import transform_data, transform_report
 from veilframe.schemas import CLASSIFIER_RESULT
 from veilframe.sources.weights import Weights
 
@@ -90,3 +101,28 @@ class DetectionService:
         if "llm_semantic" in methods and self.responses is not None:
             found.append(parse_responses(chunks, self.responses, SERVICE_RANK["llm_semantic"]))
         return found
+
+
+class TransformationService:
+    """Rewriting with a stored choice of method."""
+
+    def __init__(
+        self, salt: str, method: str = DEFAULT_TRANSFORM, preserve_context: bool = True, nonce: str | None = None
+    ):
+        self.salt = salt
+        self.method = method
+        self.preserve_context = preserve_context
+        self.nonce = nonce
+
+    def set_method(self, method: str) -> None:
+        """ValueError if the name is unknown."""
+        self.method = check_method(method)
+
+    def transform_data(self, verdicts: DataFrame, key: str = "doc_id") -> DataFrame:
+        """Add `transformed_text`; a configured name that is unknown pseudonymizes."""
+        method = self.method if self.method in TRANSFORM_NAMES else DEFAULT_TRANSFORM
+        return transform_data(verdicts, self.salt, method, self.nonce, key)
+
+    def report(self, transformed: DataFrame) -> DataFrame:
+        """Add `transformation_report`."""
+        return transform_report(transformed, self.method, self.preserve_context)

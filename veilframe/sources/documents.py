@@ -12,7 +12,8 @@ from veilframe.schemas import RESPONSES, SPANS
 def read_text_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per file: path, size in bytes, text.
 
-    Bad UTF-8 is replaced, line ends become LF.
+    Bad UTF-8 is replaced, line ends become LF.  Spark's file index leaves out
+    files of zero bytes; they hold no text and have no row here.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:

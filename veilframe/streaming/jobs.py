@@ -89,6 +89,8 @@ def stream_complete_jobs(
         # The state must be advanced once, however many tables are written.
         complete = complete.persist()
         try:
+            if complete.isEmpty():
+                return
             stored = spark.read.schema(STORED).format(fmt).load(store)
             mine = stored.join(complete, ["job_bucket", "job_id"], "left_semi")
             reports = latest_chunk_result(mine.filter(F.col("action") == "results").drop("text"))

@@ -14,7 +14,7 @@ def workspace(spark: SparkSession, name: str) -> str:
     The cluster names the folder in ``spark.checkpoint.dir``.  Only a local
     session, which has a single machine, may do without that setting.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
