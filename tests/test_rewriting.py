@@ -6,6 +6,7 @@ from veilframe.plans.detect import detect_documents
 from veilframe.plans.service import DetectionService, TransformationService
 from veilframe.plans.transform import transform_documents
 from veilframe.functions.tokens import check_method
+from veilframe.operators.transform import transform_data
 from pyspark.sql import functions as F
 
 TEXTS = [
@@ -49,6 +50,25 @@ def test_rewriting_is_sequential(docs, method):
             assert len(want) == len(r["text"])
 
 
+NASTY = [
+    (["a", "b", "a"], "xx", "ab a"), (["1", "2", "1", "2"], "n1", "1212 21"), (["*", "q", "*"], "s", "q*q*"),
+    (["[x", "x", "[x", "x"], "x", "[xx [x"), (["z", "z", "z"], "zz", "zzzz"), (["u@e.f", "u@e.f", "e.f", "e.f"], "mail", "u@e.f e.f u@e.f"),
+    (["e", "f", "e"], "t", "efef"), (["", "a", ""], "t", "a"),
+]
+
+
+@pytest.mark.parametrize("method", ["pseudonymize", "anonymize", "tokenize", "mask"])
+def test_repeats_of_a_value(spark, method):
+    """Values that stand in tokens or at their edges are replaced again."""
+    rows = [(i, text, [(type_, values), (type_ + "2", values)]) for i, (values, type_, text) in enumerate(NASTY)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii_matches array<struct<type:string,matches:array<string>>>")
+    for r in transform_data(df, "salt", method, "run").collect():
+        found = [{"type": t, "matches": [m for m in ms if m]} for t, ms in rows[r["doc_id"]][2]]
+        if any("" in ms for _, ms in rows[r["doc_id"]][2]) and method == "tokenize":
+            continue  # skipped empty matches have a position of their own
+        assert r["transformed_text"] == rewritten({"doc_id": r["doc_id"], "text": r["text"], "pii_matches": found}, method)[0]
+
+
 def test_method_per_row_and_unknown_names(docs):
     methods = ["mask", "anonymize", "tokenize", "pseudonymize", "shred", None]
     rows = transform_documents(docs(*TEXTS, transform_method=methods), "salt", F.col("transform_method"), "run").collect()

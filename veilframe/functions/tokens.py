@@ -71,21 +71,15 @@ def token_for(method: str | Column, pair: Column, key: Column, salt: str, nonce:
     )
 
 
-def replace_in_order(text: Column, pairs: Column, token) -> Column:
-    """Replace every occurrence of each match, one match after the other."""
-    folded = F.aggregate(pairs, text, lambda acc, pair: F.replace(acc, pair["value"], token(pair)))
-    return F.when(F.size(pairs) > 0, folded).otherwise(text)
+def replacements(findings: Column, token) -> Column:
+    """array<struct(pos, value, token)> in replacement order."""
+    return F.transform(
+        flat_matches(findings),
+        lambda p: F.struct(p["pos"].alias("pos"), p["value"].alias("value"), token(p).alias("token")),
+    )
 
 
-def redact(
-    text: Column,
-    findings: Column,
-    method: str | Column,
-    key: Column,
-    salt: str,
-    nonce: str | None = None,
-) -> Column:
-    """Rewrite a text by its findings."""
-    if nonce is None and (not isinstance(method, str) or method == "tokenize"):
-        raise ValueError("tokenize needs a nonce that names the run")
-    return replace_in_order(text, flat_matches(findings), lambda pair: token_for(method, pair, key, salt, nonce))
+def replace_in_order(text: Column, pairs: Column) -> Column:
+    """Replace every occurrence of each match, one match after the other."""
+    folded = F.aggregate(pairs, text, lambda acc, pair: F.replace(acc, pair["value"], pair["token"]))
+    return F.when(F.size(pairs) > 0, folded).otherwise(text)

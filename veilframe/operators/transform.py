@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.catalog import DEFAULT_TRANSFORM
 from veilframe.functions.findings import instance_count, type_count_map
-from veilframe.functions.tokens import check_method, redact
+from veilframe.functions.tokens import check_method, replace_in_order, replacements, token_for
 from veilframe.operators.steps import compute_once
 
 
@@ -25,9 +25,39 @@ def transform_data(
     """
     if isinstance(method, str):
         check_method(method)
-    return compute_once(
-        df, "transformed_text", redact(F.col("text"), F.col("pii_matches"), method, F.col(key), salt, nonce)
+    if nonce is None and (not isinstance(method, str) or method == "tokenize"):
+        raise ValueError("tokenize needs a nonce that names the run")
+    pairs = replacements(F.col("pii_matches"), lambda p: token_for(method, p, F.col(key), salt, nonce))
+    lean = _without_repeats(compute_once(df, "_pairs", pairs))
+    return compute_once(lean, "transformed_text", replace_in_order(F.col("text"), F.col("_pairs"))).drop("_pairs")
+
+
+def _without_repeats(df: DataFrame) -> DataFrame:
+    """Drop replacements that would find nothing left to replace.
+
+    A value that occurs a thousand times is a thousand matches, and each would
+    walk the whole text.  After the first one the value can only stand in an
+    inserted token or across its edge, so a repeat is kept if some token
+    contains the value or the value has a character of a token's edge.
+    """
+    pairs = F.col("_pairs")
+    repeats = F.size(F.array_distinct(F.transform(pairs, lambda p: p["value"]))) < F.size(pairs)
+    by_value = F.transform(pairs, lambda p: F.struct(p["value"].alias("value"), p["pos"].alias("pos"), p["token"].alias("token")))
+    sorted_ = compute_once(df, "_sorted", F.when(repeats, F.sort_array(by_value)))
+    tokens = F.array_join(F.transform(pairs, lambda p: p["token"]), "\n")
+    known = compute_once(sorted_, "_tokens", F.when(F.col("_sorted").isNotNull(), tokens))
+
+    def kept(pair: Column, i: Column) -> Column:
+        first = (i == 0) | (F.element_at(F.col("_sorted"), i)["value"] != pair["value"])
+        return first | pair["value"].rlike(r"[\[\]*]") | F.contains(F.col("_tokens"), pair["value"])
+
+    ordered = F.sort_array(
+        F.transform(
+            F.filter("_sorted", kept),
+            lambda p: F.struct(p["pos"].alias("pos"), p["value"].alias("value"), p["token"].alias("token")),
+        )
     )
+    return compute_once(known, "_pairs", F.coalesce(ordered, pairs)).drop("_sorted", "_tokens")
 
 
 def pseudonymize(df: DataFrame, salt: str) -> DataFrame:
