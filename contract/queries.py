@@ -674,7 +674,7 @@ def stream_complete_jobs(t):
 def stream_transform(t):
     texts = t.spark.read.parquet(f"{_complete(t, SALT)}/texts").drop("batch")
     return texts.select(
-        "job_id", "transform_method", F.length("transformed_text").cast("long").alias("chars"),
+        "job_id", "transform_method", "transformed_text",
         F.col("transformation_report.total_pii_instances").alias("instances"),
     )
 

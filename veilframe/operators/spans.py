@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +25,14 @@ from veilframe.schemas import SPANS
 KEYS = ["doc_id", "chunk_idx"]
 
 
+def _covered() -> Column:
+    return F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+
+
 def span_texts(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Every span with the text it covers; offsets count code points."""
     joined = join_many_to_one(spans, chunks.select(*KEYS, "text"), KEYS)
-    covered = F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
-    return joined.withColumn("value", covered).drop("text")
+    return joined.withColumn("value", _covered()).drop("text")
 
 
 def _map_label(labels: Mapping[str, str], label: Column) -> Column:
@@ -37,15 +41,36 @@ def _map_label(labels: Mapping[str, str], label: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[label], F.lower(label))
 
 
-def _as_findings(spans: DataFrame, type_: Column, method: str, confidence: Column, rank: int) -> DataFrame:
+def _reported(spans: DataFrame, type_: Column, method: str, confidence: Column, rank: int) -> DataFrame:
+    """Spans with what will be reported for them; no text is needed for that."""
     return spans.select(
-        *KEYS,
-        F.lit(rank).alias("method_rank"),
-        "ord",
+        *KEYS, "ord", "span_start", "span_end",
         type_.alias("type"),
-        F.array("value").alias("matches"),
         F.lit(method).alias("detection_method"),
         confidence.cast("double").alias("confidence"),
+        F.lit(rank).alias("method_rank"),
+    )
+
+
+def span_findings(chunks: DataFrame, *reported: DataFrame) -> DataFrame:
+    """Findings of any number of detectors with one join to the texts.
+
+    Where `chunks` has `methods`, a detector's spans count only for the rows
+    that ask for it.
+    """
+    spans = reduce(DataFrame.unionByName, reported)
+    gated = "methods" in chunks.columns
+    joined = join_many_to_one(spans, chunks.select(*KEYS, "text", *(["methods"] if gated else [])), KEYS)
+    if gated:
+        joined = joined.filter(F.array_contains("methods", F.col("detection_method")))
+    return joined.select(
+        *KEYS,
+        "method_rank",
+        "ord",
+        "type",
+        F.array(_covered()).alias("matches"),
+        "detection_method",
+        "confidence",
         F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("location"),
         F.lit(None).cast("string").alias("country"),
         F.lit(None).cast("string").alias("description"),
@@ -58,26 +83,21 @@ def presidio_entities(methods: Sequence[str], countries: Sequence[str]) -> list[
     return PRESIDIO_SERVICE_ENTITIES + (PRESIDIO_INTERNATIONAL_ENTITIES if wide else [])
 
 
-def detect_presidio(
-    chunks: DataFrame, spans: DataFrame, entities: Sequence[str] = tuple(PRESIDIO_ENTITIES), rank: int = METHOD_RANK["presidio"]
+def presidio_spans(
+    spans: DataFrame, entities: Sequence[str] = tuple(PRESIDIO_ENTITIES), rank: int = METHOD_RANK["presidio"]
 ) -> DataFrame:
     """Spans of the allowed entities, with the tagger's score.  The label filter
-    runs before the join and reaches the scan."""
+    runs before any join and reaches the scan."""
     kept = spans.filter(F.col("label").isin(list(entities)))
-    return _as_findings(span_texts(chunks, kept), F.lower("label"), "presidio", F.col("score"), rank)
+    return _reported(kept, F.lower("label"), "presidio", F.col("score"), rank)
 
 
-def detect_ner(
-    chunks: DataFrame, spans: DataFrame, labels: Mapping[str, str] = NER_LABELS, rank: int = METHOD_RANK["ner"]
-) -> DataFrame:
+def ner_spans(spans: DataFrame, labels: Mapping[str, str] = NER_LABELS, rank: int = METHOD_RANK["ner"]) -> DataFrame:
     """All spans, labels mapped to finding types."""
-    return _as_findings(
-        span_texts(chunks, spans), _map_label(labels, F.col("label")), "ner", F.lit(NER_CONFIDENCE), rank
-    )
+    return _reported(spans, _map_label(labels, F.col("label")), "ner", F.lit(NER_CONFIDENCE), rank)
 
 
-def detect_gliner(
-    chunks: DataFrame,
+def gliner_spans(
     spans: DataFrame,
     entities: Sequence[str] = tuple(GLINER_ENTITIES),
     method: str = "gliner",
@@ -91,7 +111,22 @@ def detect_gliner(
     named = spans.withColumn("label", _map_label(GLINER_LABELS, F.col("label")))
     if "ALL" not in entities:
         named = named.filter(F.col("label").isin(list(entities)))
-    return _as_findings(span_texts(chunks, named), F.lower("label"), method, F.lit(confidence), rank)
+    return _reported(named, F.lower("label"), method, F.lit(confidence), rank)
+
+
+def detect_presidio(chunks: DataFrame, spans: DataFrame, *args, **kwargs) -> DataFrame:
+    """Findings of `presidio_spans`."""
+    return span_findings(chunks, presidio_spans(spans, *args, **kwargs))
+
+
+def detect_ner(chunks: DataFrame, spans: DataFrame, *args, **kwargs) -> DataFrame:
+    """Findings of `ner_spans`."""
+    return span_findings(chunks, ner_spans(spans, *args, **kwargs))
+
+
+def detect_gliner(chunks: DataFrame, spans: DataFrame, *args, **kwargs) -> DataFrame:
+    """Findings of `gliner_spans`."""
+    return span_findings(chunks, gliner_spans(spans, *args, **kwargs))
 
 
 def custom_recognizer(

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from veilframe.catalog import CHUNK_SIZE, METHOD_RANK, OVERLAP, PatternSpec
 from veilframe.functions.findings import score_map
 from veilframe.functions.patterns import NO_FINDINGS
+from veilframe.operators import spans
 from veilframe.operators.chunking import chunk_documents, with_chunks
 from veilframe.operators.classify import classify_documents
 from veilframe.operators.combine import combine_results
 from veilframe.operators.detection import detect_regex, finding_rows, regex_findings
 from veilframe.operators.in_row import dedup_array
 from veilframe.operators.responses import parse_responses
-from veilframe.operators.routing import only_method, route_regex
-from veilframe.operators.spans import detect_gliner, detect_ner, detect_presidio
+from veilframe.operators.routing import asks_for, only_method, route_regex
 from veilframe.operators.steps import compute_once
 from veilframe.sources.weights import Weights
 
@@ -80,18 +80,20 @@ def detect_jobs(
 
     `jobs` has doc_id, text, the arrays methods and countries, and `embedding`
     for the classifier.  Spans and answers are keyed by document and chunk.  A
-    detector sees only the rows that ask for it; the text stays behind when the
+    detector sees only the rows that ask for it.  Texts are joined once with the
+    spans of all taggers and once with the answers, and stay behind when the
     findings are merged.
     """
     chunks = chunk_documents(jobs.select("doc_id", "text", "methods", "countries"), chunk_size, overlap)
     found = [finding_rows(detect_regex(route_regex(chunks), F.col("countries")), METHOD_RANK["regex"])]
     if responses is not None:
         found.append(parse_responses(only_method(chunks, "llm_semantic"), responses))
-    if presidio_spans is not None:
-        found.append(detect_presidio(only_method(chunks, "presidio"), presidio_spans))
+    tagged = [] if presidio_spans is None else [spans.presidio_spans(presidio_spans)]
     if ner_spans is not None:
-        found.append(detect_ner(only_method(chunks, "ner"), ner_spans))
-        found.append(detect_gliner(only_method(chunks, "gliner"), ner_spans))
+        tagged += [spans.ner_spans(ner_spans), spans.gliner_spans(ner_spans)]
+    if tagged:
+        asking = chunks.filter(asks_for(F.col("methods"), ["presidio", "ner", "gliner"]))
+        found.append(spans.span_findings(asking, *tagged))
     classified = None
     if weights is not None:
         asked = only_method(jobs, "quantum_classification").select("doc_id", "embedding")

@@ -21,12 +21,12 @@ from veilframe.catalog import (
 from veilframe.functions.findings import score_map
 from veilframe.functions.patterns import NO_FINDINGS, pattern_findings
 from veilframe.functions.tokens import check_method
+from veilframe.operators import spans
 from veilframe.operators.classify import classify_documents
 from veilframe.operators.combine import dedup_findings_ci, union_methods, verdicts
 from veilframe.operators.detection import finding_rows, scored_specs
 from veilframe.operators.in_row import dedup_array
 from veilframe.operators.responses import parse_responses
-from veilframe.operators.spans import detect_ner, detect_presidio, presidio_entities
 from veilframe.operators.steps import compute_once
 from veilframe.operators.transform import transform_data, transform_report
 from veilframe.schemas import CLASSIFIER_RESULT
@@ -92,12 +92,13 @@ class DetectionService:
         return verdicts(docs, unique, analysed, with_confidence=False)
 
     def _model_findings(self, chunks: DataFrame, methods: Sequence[str]) -> list[DataFrame]:
-        found = []
+        tagged = []
         if "presidio" in methods and self.presidio_spans is not None:
-            allowed = presidio_entities(self.config["detection_methods"], self.config["supported_countries"])
-            found.append(detect_presidio(chunks, self.presidio_spans, allowed, SERVICE_RANK["presidio"]))
+            allowed = spans.presidio_entities(self.config["detection_methods"], self.config["supported_countries"])
+            tagged.append(spans.presidio_spans(self.presidio_spans, allowed, SERVICE_RANK["presidio"]))
         if "ner" in methods and self.ner_spans is not None:
-            found.append(detect_ner(chunks, self.ner_spans, rank=SERVICE_RANK["ner"]))
+            tagged.append(spans.ner_spans(self.ner_spans, rank=SERVICE_RANK["ner"]))
+        found = [spans.span_findings(chunks.select("doc_id", "chunk_idx", "text"), *tagged)] if tagged else []
         if "llm_semantic" in methods and self.responses is not None:
             found.append(parse_responses(chunks, self.responses, SERVICE_RANK["llm_semantic"]))
         return found
