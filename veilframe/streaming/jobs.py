@@ -95,8 +95,11 @@ def stream_complete_jobs(
             mine = stored.join(complete, ["job_bucket", "job_id"], "left_semi")
             reports = latest_chunk_result(mine.filter(F.col("action") == "results").drop("text"))
             unique = dedup_findings(job_findings(reports), "job_id")
+            # The rest reads the written table, so the merge runs once.
+            written = f"{out}/findings/batch={batch_id}"
+            unique.write.mode("overwrite").parquet(written)
+            unique = spark.read.schema(unique.schema).parquet(written)
             scores = final_scores(unique, job_quantum(reports), "job_id")
-            unique.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
             scores.write.mode("overwrite").parquet(f"{out}/scores/batch={batch_id}")
             if salt is not None:
                 rewritten = _rewrite(mine.drop("pii_matches", "quantum"), unique, chunk_size, overlap, salt, nonce)
