@@ -43,11 +43,11 @@ def test_jobs_complete_once(spark, messages, per_batch):
     base = workspace(spark, "jobs")
     store = f"{base}/store"
     # every file holds parts of many jobs
-    with_job_bucket(messages, 4).repartition(5, F.xxhash64("service", "chunk_idx", "job_id")).write.partitionBy("job_bucket").parquet(store)
+    with_job_bucket(messages, 2).repartition(3, F.xxhash64("service", "chunk_idx", "job_id")).write.partitionBy("job_bucket").parquet(store)
     stream = read_message_stream(spark, store, "parquet", STORED, per_batch)
     stream_complete_jobs(
         spark, completion_events(stream, "7 days"), store, f"{base}/out", f"{base}/check",
-        chunk_size=40, overlap=15, salt="s", nonce="n", buckets=4, once=True,
+        chunk_size=40, overlap=15, salt="s", nonce="n", buckets=2, once=True,
     ).awaitTermination()
     done = {r["job_id"] for r in job_complete(messages).collect()}
     assert done == {f"job-{i}" for i in range(12)} - {"job-5"}
