@@ -14,9 +14,8 @@ def _downhill(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    """Number of edges and two sums that tell whether they changed."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(u * 31 ^ v)"), F.bit_xor(h)).first())
+    """Number of edges and two digests that tell whether they changed."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
