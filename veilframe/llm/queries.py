@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm import simhash
+from veilframe.llm import bpe, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +24,15 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "token_ids")
+    return bpe.decode_documents(encoded, path).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
