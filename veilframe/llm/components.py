@@ -26,16 +26,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     then to its smaller ones.  The number of rounds grows with the logarithm of
     the longest path, the number of edges never grows, and no group is gathered.
     A node with very many neighbours is a skewed join key, which adaptive
-    execution splits.  Every round is a table in the shared folder.
+    execution splits; for that, minima are tables of their own.  Every step is a
+    table in the shared folder.
     """
     current = saved(_downhill(edges, a, b), "edges")
     before = _state(current)
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        lowest = saved(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lowest")
         large = both.join(lowest, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u > v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        large = saved(large.filter("u > v").distinct(), "edges")
+        lowest = saved(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "lowest")
         joined = large.join(lowest, F.col("u") == F.col("k"))
         small = joined.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
         current = saved(small.filter("u > v").distinct(), "edges")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, simhash
+from veilframe.llm import bpe, lines, mixing, pii, simhash, warc
+from veilframe.workspace import workspace
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,47 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+@query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLES["op4_mixing"] = mixing.ORACLE
+ORACLES["op5_lines"] = lines.ORACLE
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    path = workspace(spark, "warc")
+    warc.write_warc(pages, path)
+    kind = dict(pages.dtypes)["page_id"]
+    return warc.read_warc(spark, path, payload=False).select(
+        F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
+    )
+
+
+ORACLES["op9_warc"] = """
+with hashed as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select *, min(page_id) over (partition by payload_digest) as first from hashed)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from firsts
+"""
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
+    base = F.filter("pii", lambda s: s["number"] < 4)
+    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"))

@@ -136,7 +136,7 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, full_bucket: int
     if max_distance not in (1, 2):
         raise ValueError("the distance must be 1 or 2 bits")
     keyed = prints.select("fp", _variants(max_distance))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     busy = saved(keyed.join(shared, "key"), "variants")
     some = busy.filter(F.col("n") <= full_bucket).select("key", "slot", "fp")
     pairs = some.join(some.select("key", F.col("fp").alias("other")), "key").filter(
@@ -179,7 +179,7 @@ def near_duplicates(
     classes = saved(prints.groupBy("fp").agg(F.min("id").alias("id")), "classes")
     linked = components(links(classes.select("fp"), max_distance, full_bucket), "fp", "other")
     labelled = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    smallest = saved(labelled.groupBy("label").agg(F.min("id").alias("component_id")), "smallest")
     reached = labelled.join(smallest, "label").select(F.col("fp").alias("print"), "component_id")
     return prints.join(reached, F.col("fp") == F.col("print")).select(
         F.col("id").alias(doc_id), hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
