@@ -45,8 +45,8 @@ PIECES = (
 )
 #: A tokenizer's file is broadcast; none may be larger.
 MAX_FILE_BYTES = 64 << 20
-#: Pieces whose tokens a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 200
+#: Pieces and words whose tokens a worker remembers, and the longest that it does.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 100
 #: Tokens that are turned into bytes at a time.
 DECODED_AT_ONCE = 1 << 20
 
@@ -63,6 +63,12 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def _remember(where: dict, key: str, ids: bytes) -> None:
+    if len(where) >= REMEMBERED:
+        where.clear()
+    where[key] = ids
+
+
 class Vocabulary:
     """Tokens of a byte-level BPE file, numbered by rank: bytes first, then merges."""
 
@@ -103,7 +109,8 @@ class Vocabulary:
         longest_first = sorted(self.special, key=lambda s: (-len(s), s))
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = regex.compile(PIECES, regex.V1)
-        self.remembered: dict[str, list[int]] = {}
+        self.by_piece: dict[str, bytes] = {}
+        self.by_word: dict[str, bytes] = {}  # words with a blank before them, by the word
         by_id = dict(zip(self.ids, self.texts)) | {i: s.encode() for s, i in self.special.items()}
         parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(parts))])
@@ -153,24 +160,59 @@ class Vocabulary:
                 at -= self.lengths[token]
         return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for i, part in enumerate(self.is_special.split(text) if self.is_special else [text]):
-            if i % 2:
-                out.append(self.special[part])
+    def _pieces_of(self, text: str) -> bytes:
+        """Ids of a text, cut in pieces by the pattern, as 32-bit numbers."""
+        out = []
+        for m in self.pieces.finditer(text):
+            piece = m.group()
+            ids = self.by_piece.get(piece)
+            if ids is None:
+                data = piece.encode()
+                ids = np.array([self.ids[r] for r in self.encode_piece(data)], np.int32).tobytes()
+                if len(data) <= REMEMBERED_BYTES:
+                    _remember(self.by_piece, piece, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens.
+
+        The pattern starts anew at a blank or line feed that follows a
+        character which is not white space, or is followed by one.  Where that is
+        so throughout, words with the blank before them are looked up whole.
+        """
+        if "\n\n\n" in text or text.endswith("\n\n"):
+            return self._pieces_of(text)
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append(self._word("\n"))
+            if not line:
                 continue
-            for m in self.pieces.finditer(part) if len(part) > 1 << 20 else self.pieces.findall(part):
-                piece = m if isinstance(m, str) else m.group()
-                ids = self.remembered.get(piece)
-                if ids is None:
-                    data = piece.encode()
-                    ids = [self.ids[r] for r in self.encode_piece(data)]
-                    if len(data) <= REMEMBERED_BYTES:
-                        if len(self.remembered) >= REMEMBERED:
-                            self.remembered.clear()
-                        self.remembered[piece] = ids
-                out.extend(ids)
-        return out
+            words = line.split(" ")
+            if words != line.split():  # other white space, or more than one in a row
+                return self._pieces_of(text)
+            out.append(self._word(words[0]))
+            found = list(map(self.by_word.get, words[1:]))
+            if None in found:
+                for k, ids in enumerate(found):
+                    if ids is None:
+                        found[k] = ids = self._pieces_of(" " + words[k + 1])
+                        if len(words[k + 1]) <= REMEMBERED_BYTES:
+                            _remember(self.by_word, words[k + 1], ids)
+            out += found
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.by_piece.get(word)
+        return self._pieces_of(word) if ids is None else ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.is_special is None or not any(s in text for s in self.special):
+            return np.frombuffer(self._plain(text), np.int32)
+        parts = self.is_special.split(text)
+        coded = [np.int32(self.special[x]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts)]
+        return np.frombuffer(b"".join(coded), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of many tokens at once: copies from one blob by the offset table."""
@@ -237,12 +279,10 @@ class Tokenizer:
         return run(ids)
 
 
-def _lists(rows: Iterable[list[int]]) -> pa.Array:
-    parts, offsets = [], [0]
-    for row in rows:
-        parts.append(np.array(row, np.int32))
-        offsets.append(offsets[-1] + len(row))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int32()))
+def _lists(rows: Iterable[np.ndarray]) -> pa.Array:
+    parts = list(rows)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, lines, mixing, pii, simhash, warc
+from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
 QUERIES = {}
@@ -31,6 +32,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "token_ids")
+    encoded = compute_once(encoded, "token_ids", F.col("token_ids"))  # else every reader of the ids encodes anew
     return bpe.decode_documents(encoded, path).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
