@@ -136,15 +136,19 @@ def _spans(number: int, kind: Kind) -> Column:
     """Array of (start, number, end, kind, score) from the matches and their ends."""
     found, ends = F.col("found")[kind.name], F.col("ends")[kind.name]
     n = F.size(found["m"])
-    rows = F.arrays_zip(found["m"].alias("m"), ends.alias("e"), F.slice(found["gaps"], F.lit(1), n).alias("b"), F.slice(found["gaps"], F.lit(2), n).alias("a"))
+    rows = F.zip_with(
+        F.arrays_zip(found["m"].alias("m"), ends.alias("e")),
+        F.arrays_zip(F.slice(found["gaps"], F.lit(1), n).alias("b"), F.slice(found["gaps"], F.lit(2), n).alias("a")),
+        lambda x, y: F.struct(x["m"].alias("text"), x["e"].alias("end"), y["b"].alias("before"), y["a"].alias("after")),
+    )
     if kind.valid is not None:
-        rows = F.filter(rows, lambda r: kind.valid(r["0"]))
+        rows = F.filter(rows, lambda r: kind.valid(r["text"]))
 
     def span(r: Column) -> Column:
-        near = F.lower(F.concat(F.right(r["2"], F.lit(NEAR)), F.lit(" "), F.left(r["3"], F.lit(NEAR))))
+        near = F.lower(F.concat(F.right(r["before"], F.lit(NEAR)), F.lit(" "), F.left(r["after"], F.lit(NEAR))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(
-            (r["1"] - F.length(r["0"])).alias("start"), F.lit(number).alias("number"), r["1"].alias("end"),
+            (r["end"] - F.length(r["text"])).alias("start"), F.lit(number).alias("number"), r["end"].alias("end"),
             F.lit(kind.name).alias("kind"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"),
         )
 
