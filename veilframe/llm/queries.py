@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, lines, mixing, pii, simhash, warc
+from veilframe.llm import bpe, fingerprint, lines, mixing, pii, simhash, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -83,3 +83,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["number"] < 4)
     counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
     return found.select("doc_id", *counts, F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"))
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed = fingerprint.fingerprint_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+    pairs = fingerprint.with_next(printed, "doc_id", "text", "vector")
+    n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+    filled = pairs.withColumns({"text": F.coalesce("text", F.lit("")), "after": F.coalesce("next.text", F.lit(""))})
+    edited = compute_once(filled, "edited", F.concat(F.left("text", n - half), F.left("after", half)))
+    hashed = compute_once(edited.drop("after"), "hashed", fingerprint.hashes(F.col("edited")))
+    small = hashed.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "vector", F.col("next.vector").alias("next_vector"), "hashed"
+    )
+    vectors = compute_once(small, "edited_vector", fingerprint.vector(F.col("hashed"))).drop("hashed")
+    lanes = compute_once(vectors, "s", F.struct(*[fingerprint.signed(F.col(c)).alias(c) for c in ("vector", "edited_vector", "next_vector")]))
+    return lanes.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", fingerprint.digits(F.col("edited_vector")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("s.vector"), F.col("s.edited_vector")).alias("near_edited"),
+        fingerprint.likeness(F.col("s.vector"), F.col("s.next_vector")).alias("near_next"),
+    )
