@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, fingerprint, lines, mixing, pii, simhash, warc
+from veilframe.llm import bpe, fingerprint, lines, mixing, pii, simhash, toxicity, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -103,3 +103,19 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.likeness(F.col("s.vector"), F.col("s.edited_vector")).alias("near_edited"),
         fingerprint.likeness(F.col("s.vector"), F.col("s.next_vector")).alias("near_next"),
     )
+
+
+def held_out():
+    """Is a document kept from training?"""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.fit(docs, read(spark, sf_dir, "labels", "doc_id", "toxic").filter(~held_out()))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "sentences")
