@@ -45,7 +45,7 @@ PIECES = (
 )
 #: A tokenizer's file is broadcast; none may be larger.
 MAX_FILE_BYTES = 64 << 20
-#: Pieces and words whose tokens a worker remembers, and the longest that it does.
+#: Pieces, words and pairs of tokens that a worker remembers, and the longest text of one.
 REMEMBERED, REMEMBERED_BYTES = 250_000, 100
 #: Tokens that are turned into bytes at a time.
 DECODED_AT_ONCE = 1 << 20
@@ -63,10 +63,10 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _remember(where: dict, key: str, ids: bytes) -> None:
+def _remember(where: dict, key, value) -> None:
     if len(where) >= REMEMBERED:
         where.clear()
-    where[key] = ids
+    where[key] = value
 
 
 class Vocabulary:
@@ -109,6 +109,7 @@ class Vocabulary:
         longest_first = sorted(self.special, key=lambda s: (-len(s), s))
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = regex.compile(PIECES, regex.V1)
+        self.pairs: dict[tuple[int, int], bool] = {}  # the compatibility table, as far as it was needed
         self.by_piece: dict[str, bytes] = {}
         self.by_word: dict[str, bytes] = {}  # words with a blank before them, by the word
         by_id = dict(zip(self.ids, self.texts)) | {i: s.encode() for s, i in self.special.items()}
@@ -140,24 +141,32 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ranks of the tokens of one piece."""
         n = len(piece)
-        longest = [0] * n
+        longest, lengths, shorter, pairs = [0] * n, self.lengths, self.shorter, self.pairs
         for end, r in self.automaton.iter(piece.decode("latin-1")):  # ends ascend: the longest comes last
-            longest[end + 1 - self.lengths[r]] = r
+            longest[end + 1 - lengths[r]] = r
+        longest.append(-1)
         open_at = bytearray(b"\1") * (n + 1)
         found: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, token, fits = 0, longest[0], True
         while at < n:
-            end = at + self.lengths[token]
-            if open_at[end] and (not found or self.compatible(found[-1], token)):
+            end = at + lengths[token]
+            if found and open_at[end]:
+                pair = found[-1], token
+                fits = pairs.get(pair)
+                if fits is None:
+                    fits = self.compatible(*pair)
+                    _remember(pairs, pair, fits)
+            if fits and open_at[end]:
                 found.append(token)
                 at = end
-                token = longest[at] if at < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+                token = longest[at]
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:
                 open_at[at] = 0
                 token = found.pop()
-                at -= self.lengths[token]
+                at -= lengths[token]
+            fits = True
         return found
 
     def _pieces_of(self, text: str) -> bytes:
