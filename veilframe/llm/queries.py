@@ -81,8 +81,11 @@ from firsts
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"])
     base = F.filter("pii", lambda s: s["number"] < 4)
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"))
+
+    def n(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"))
 
 
 @query
