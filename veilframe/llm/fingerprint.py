@@ -130,7 +130,7 @@ def _stretch(value: Column, edges: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def with_next(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str, *columns: str, ids: DataFrame | None = None) -> DataFrame:
     """`docs` with the columns of the next row in descending order of a whole-number id.
 
     They are in the struct `next`; after the last row comes the first.  Ties
@@ -138,18 +138,21 @@ def with_next(docs: DataFrame, doc_id: str, *columns: str) -> DataFrame:
     stretches of similar size at quantiles, at most MAX_STRETCHES; each stretch is a
     group of one window, so every row is moved once, and the first row of each
     stretch is copied to the end of the one before.
+
+    `ids` may be a table of the same ids that is cheaper to read than `docs`.
     """
     ident = col(doc_id)
-    n = docs.count()
+    ids = (docs if ids is None else ids).select(ident.alias("id"))
+    n = ids.count()
     parts = max(1, min(MAX_STRETCHES, n // ROWS_PER_STRETCH))
     edges: list[int] = []
     if parts > 1:
         shares = [i / parts for i in range(1, parts)]
-        found = docs.agg(F.percentile_approx(ident, shares, 10 * MAX_STRETCHES).alias("q")).first().q
+        found = ids.agg(F.percentile_approx("id", shares, 10 * MAX_STRETCHES).alias("q")).first().q
         edges = sorted(set(found or []))
     stretch = F.when(F.col("id").isNull(), -1).otherwise(_stretch(F.col("id"), edges))
     placed = compute_once(docs.select(whole_row(docs).alias("row"), ident.alias("id")), "stretch", stretch.cast("int"))
-    heads = placed.groupBy("stretch").agg(F.max("id").alias("id")).orderBy(F.desc("stretch")).collect()
+    heads = compute_once(ids, "stretch", stretch.cast("int")).groupBy("stretch").agg(F.max("id").alias("id")).orderBy(F.desc("stretch")).collect()
     before = [(r.stretch, r.id, heads[i - 1].stretch) for i, r in enumerate(heads)]  # the first row of each follows the last of the one before
     small = docs.sparkSession.createDataFrame(before, "stretch int, head long, before int")
     own = F.struct(F.col("stretch").alias("at"), F.lit(False).alias("tail"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, fingerprint, lines, mixing, pii, simhash, toxicity, warc
+from veilframe.llm import bpe, fingerprint, lines, mixing, pii, quality, simhash, toxicity, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -90,19 +90,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    printed = fingerprint.fingerprint_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
-    pairs = fingerprint.with_next(printed, "doc_id", "text", "vector")
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    printed = fingerprint.fingerprint_documents(docs).drop("fingerprint")
+    pairs = fingerprint.with_next(printed, "doc_id", "text", "vector", ids=docs)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     filled = pairs.withColumns({"text": F.coalesce("text", F.lit("")), "after": F.coalesce("next.text", F.lit(""))})
     edited = compute_once(filled, "edited", F.concat(F.left("text", n - half), F.left("after", half)))
     hashed = compute_once(edited.drop("after"), "hashed", fingerprint.hashes(F.col("edited")))
     small = hashed.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "vector", F.col("next.vector").alias("next_vector"), "hashed"
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "vector", F.col("next.vector").alias("next_vector"), "hashed"
     )
     vectors = compute_once(small, "edited_vector", fingerprint.vector(F.col("hashed"))).drop("hashed")
     lanes = compute_once(vectors, "s", F.struct(*[fingerprint.signed(F.col(c)).alias(c) for c in ("vector", "edited_vector", "next_vector")]))
     return lanes.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", fingerprint.digits(F.col("edited_vector")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint.digits(F.col("vector")).alias("fingerprint"), fingerprint.digits(F.col("edited_vector")).alias("edited_fingerprint"),
         fingerprint.likeness(F.col("s.vector"), F.col("s.edited_vector")).alias("near_edited"),
         fingerprint.likeness(F.col("s.vector"), F.col("s.next_vector")).alias("near_next"),
     )
@@ -122,3 +123,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     scored = toxicity.score_documents(docs, toxicity_model(docs, spark, sf_dir))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "sentences")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_quality(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), keep=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+    )
