@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterable
 
 import ahocorasick
@@ -177,12 +178,31 @@ class Vocabulary:
             ids = self.by_piece.get(piece)
             if ids is None:
                 data = piece.encode()
-                ids = np.array([self.ids[r] for r in self.encode_piece(data)], np.int32).tobytes()
+                ids = self._coded(data)
                 if len(data) <= REMEMBERED_BYTES:
                     _remember(self.by_piece, piece, ids)
             out.append(ids)
         return b"".join(out)
 
+    def _coded(self, piece: bytes) -> bytes:
+        return array("i", [self.ids[r] for r in self.encode_piece(piece)]).tobytes()
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a new word with a blank before it.
+
+        Letters and the blank are one piece; so are a point or comma after them.
+        """
+        if word.isalpha():
+            ids = self._coded(b" " + word.encode())
+        elif word[-1] in ",." and word[:-1].isalpha():
+            stem = self.by_word.get(word[:-1])
+            return (self._spaced(word[:-1]) if stem is None else stem) + self._word(word[-1])
+        else:
+            ids = self._pieces_of(" " + word)
+        if len(word) <= REMEMBERED_BYTES:
+            _remember(self.by_word, word, ids)
+        return ids
+
     def _plain(self, text: str) -> bytes:
         """Ids of a text without added tokens.
 
@@ -204,11 +224,7 @@ class Vocabulary:
             out.append(self._word(words[0]))
             found = list(map(self.by_word.get, words[1:]))
             if None in found:
-                for k, ids in enumerate(found):
-                    if ids is None:
-                        found[k] = ids = self._pieces_of(" " + words[k + 1])
-                        if len(words[k + 1]) <= REMEMBERED_BYTES:
-                            _remember(self.by_word, words[k + 1], ids)
+                found = [self._spaced(words[k]) if ids is None else ids for k, ids in enumerate(found, 1)]
             out += found
         return b"".join(out)
 
