@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, fingerprint, lines, mixing, pii, quality, simhash, toxicity, warc
+from veilframe.llm import bpe, fingerprint, lines, mixing, pii, quality, simhash, toxicity, urls, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -131,3 +131,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
     )
+
+
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
