@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -95,19 +96,19 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> Model:
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(30.0 if len(y) and y.min() == 1 else -30.0, {})
-    split = [[words for _, _, words in sentences(t)] for t in texts]
     seen: Counter[str] = Counter()
-    for doc in split:
-        seen.update({f for words in doc for w in words for f in features(w)})
+    for text in texts:
+        seen.update({f for _, _, words in sentences(text) for w in words for f in features(w)})
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_DOCUMENTS))}
-    found, inside, owner = [], [], []
-    for d, doc in enumerate(split):
-        for words in doc:
-            ids = [index[f] for w in words for f in features(w) if f in index]
-            found += ids
-            inside += [len(owner)] * len(ids)
+    del seen
+    found, inside, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):  # cut anew, as keeping all words takes many times the texts' memory
+        for _, _, words in sentences(text):
+            ids = [index[f] for w in sorted(words) for f in features(w) if f in index]
+            found.extend(ids)
+            inside.extend([len(owner)] * len(ids))
             owner.append(d)
-    word, at, doc_of = np.array(found, np.int64), np.array(inside, np.int64), np.array(owner, np.int64)
+    word, at, doc_of = (np.array(x, np.int64) for x in (found, inside, owner))
     share = np.array(weights, float) / np.mean(weights)
     n_words, n_sentences, n = len(index), len(owner), len(y)
     w, b = np.zeros(n_words), -4.0
