@@ -92,9 +92,10 @@ def _put(level: int, text: str) -> Column:
 
 
 def _merged(nodes: DataFrame, level: int) -> DataFrame:
-    """Literal siblings that are like all others together become `*` at one level.
+    """Literal siblings that are alike become `*` at one level.
 
-    A branch is held against its siblings' pool, not against each of them.
+    Siblings with the same most frequent continuation are pooled, and a branch is
+    held against its pool, not against each of its siblings.
     """
     at = nodes.withColumns({
         "parent": F.array_join(F.slice("now", 1, level - 1), "/"), "seg": F.get("now", F.lit(level - 1)),
@@ -102,11 +103,15 @@ def _merged(nodes: DataFrame, level: int) -> DataFrame:
     }).filter(F.col("seg").isNotNull())
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     branches = saved(at.groupBy("host", "parent", "seg", "tail").agg(*sums), "branches")
-    pool = saved(branches.groupBy("host", "parent", "tail").agg(F.sum("n").alias("pool")), "pools")
-    whole = saved(branches.groupBy("host", "parent").agg(F.sum("n").alias("all"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad")), "parents")
-    totals = branches.groupBy("host", "parent", "seg").agg(*[F.sum(c).alias(f"b_{c}") for c in ("n", "labelled", "bad")], F.count("*").alias("tails"))
+    totals = saved(branches.groupBy("host", "parent", "seg").agg(
+        *[F.sum(c).alias(f"b_{c}") for c in ("n", "labelled", "bad")], F.count("*").alias("tails"), F.max_by("tail", F.struct("n", "tail")).alias("main")
+    ), "totals")
+    group = ["host", "parent", "main"]
+    known = branches.join(totals, ["host", "parent", "seg"])
+    pool = saved(known.groupBy(*group, "tail").agg(F.sum("n").alias("pool")), "pools")
+    whole = saved(totals.groupBy(*group).agg(F.sum("b_n").alias("all"), F.sum("b_labelled").alias("all_labelled"), F.sum("b_bad").alias("all_bad")), "groups")
     p, q = F.col("n") / F.col("b_n"), F.col("pool") / F.col("all")
-    joined = branches.join(pool, ["host", "parent", "tail"]).join(whole, ["host", "parent"]).join(saved(totals, "totals"), ["host", "parent", "seg"])
+    joined = known.join(pool, [*group, "tail"]).join(whole, group)
     half = (p * F.log2(2 * p / (p + q)) + q * F.log2(2 * q / (p + q))) / 2
     tested = joined.groupBy("host", "parent", "seg").agg(
         (F.sum(half) + (1 - F.sum(q)) / 2).alias("divergence"), *[F.max(c).alias(c) for c in ("b_n", "b_labelled", "b_bad", "tails", "all", "all_labelled", "all_bad")]
