@@ -83,7 +83,7 @@ def js_distance(counts_a: Column, counts_b: Column) -> Column:
         return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
 
     terms = F.zip_with(share(counts_a), share(counts_b), term)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.sqrt(F.abs(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))  # rounding may leave it just below 0
 
 
 def measured(docs: DataFrame, text: str, lang: str | None, keep: list[str]) -> DataFrame:
