@@ -20,6 +20,8 @@ from veilframe.operators.steps import compute_once
 LEAST_SCORE = 0.5
 #: A context word within so many characters of a span adds so much.
 NEAR, CONTEXT_GAIN = 40, 0.4
+#: Pieces of a text (matches have 5 characters or more) that hold NEAR characters for sure.
+PIECES = 2 * NEAR // 5 + 1
 #: Elements that a running sum handles at a time.
 RUN = 512
 
@@ -134,18 +136,17 @@ def _matches(text: Column, kind: Kind) -> Column:
 
 def _spans(number: int, kind: Kind) -> Column:
     """Array of (start, number, end, kind, score) from the matches and their ends."""
-    found, ends = F.col("found")[kind.name], F.col("ends")[kind.name]
-    n = F.size(found["m"])
-    rows = F.zip_with(
-        F.arrays_zip(found["m"].alias("m"), ends.alias("e")),
-        F.arrays_zip(F.slice(found["gaps"], F.lit(1), n).alias("b"), F.slice(found["gaps"], F.lit(2), n).alias("a")),
-        lambda x, y: F.struct(x["m"].alias("text"), x["e"].alias("end"), y["b"].alias("before"), y["a"].alias("after")),
-    )
+    found, ends, cut = F.col("found")[kind.name], F.col("ends")[kind.name], F.col("cut")[kind.name]
+    rows = F.transform(F.arrays_zip(found["m"].alias("m"), ends.alias("e")), lambda r, i: F.struct(r["m"].alias("text"), r["e"].alias("end"), i.alias("i")))
     if kind.valid is not None:
         rows = F.filter(rows, lambda r: kind.valid(r["text"]))
 
     def span(r: Column) -> Column:
-        near = F.lower(F.concat(F.right(r["before"], F.lit(NEAR)), F.lit(" "), F.left(r["after"], F.lit(NEAR))))
+        # the match is piece 2 i + 2 of the text; so many pieces on either side hold NEAR characters
+        here = 2 * r["i"] + 2
+        before = F.slice(cut["tails"], F.greatest(here - PIECES, F.lit(1)), F.least(here - 1, F.lit(PIECES)))
+        after = F.slice(cut["heads"], here + 1, F.lit(PIECES))
+        near = F.lower(F.concat(F.right(F.array_join(before, ""), F.lit(NEAR)), F.lit(" "), F.left(F.array_join(after, ""), F.lit(NEAR))))
         score = F.lit(kind.score) + F.when(near.rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
         return F.struct(
             (r["end"] - F.length(r["text"])).alias("start"), F.lit(number).alias("number"), r["end"].alias("end"),
@@ -184,8 +185,15 @@ def find_personal_data(docs: DataFrame, text: str = "text", kinds: tuple[Kind, .
         f = F.col("found")[k.name]
         return F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["m"])), f["m"], lambda g, m: (F.length(g) + F.length(m)).cast("long"))
 
+    def cut(k: Column, part) -> Column:
+        pieces = F.flatten(F.zip_with(k["gaps"], k["m"], lambda g, m: F.array_compact(F.array(g, m))))
+        return F.when(k.isNotNull(), F.transform(pieces, lambda p: part(p, F.lit(NEAR))))
+
+    found = compute_once(found, "cut", F.struct(*[
+        F.struct(cut(F.col("found")[k.name], F.right).alias("tails"), cut(F.col("found")[k.name], F.left).alias("heads")).alias(k.name) for k in kinds
+    ]))
     measured = compute_once(found, "sizes", F.struct(*[lengths(k).alias(k.name) for k in kinds]))
     placed = compute_once(measured, "ends", F.struct(*[F.when(F.col("sizes")[k.name].isNotNull(), running_sum(F.col("sizes")[k.name])).alias(k.name) for k in kinds]))
     spans = F.array_sort(F.concat(*[_spans(i, k) for i, k in enumerate(kinds)]))
-    done = compute_once(placed.select("row", "found", "ends"), "pii", spans)
+    done = compute_once(placed.select("row", "found", "cut", "ends"), "pii", spans)
     return unpacked(done, "row", names, pii=F.col("pii"))
