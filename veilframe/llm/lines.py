@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     # a table of its own, so that adaptive execution can split a hot hash in the join
     first = saved(ends.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first"), "first-places")
     later = found.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
-    covered = later.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    covered = saved(later.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "covered")
     rows = docs.select(row_key(col(doc_id), col(text)).alias("key"), whole_row(docs).alias("row"))
     joined = rows.join(covered, "key", "left")
     old = F.col("row").getField(text)
