@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         picked.append(hashed.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 4096))).orderBy("h").limit(most))
     sample = picked[0].union(picked[1]).select("id", "y")
     rows = docs.select(col(doc_id).alias("id"), col(text).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
-    taken = rows.join(F.broadcast(sample), "id").select("t", "y").collect()  # at most SAMPLE_TOXIC + SAMPLE_CLEAN labels
+    # one row for each label, however often an id repeats: at most SAMPLE_TOXIC + SAMPLE_CLEAN
+    taken = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
     taken.sort(key=lambda r: (r.y, r.t))
     used = Counter(r.y for r in taken)
     return train([r.t for r in taken], [r.y for r in taken], [counts[r.y] / used[r.y] for r in taken])
