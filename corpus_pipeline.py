@@ -47,8 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key"))
     groups = simhash.near_duplicates(docs.select(place.alias("place"), "text"), doc_id="place")
     kept = saved(groups.select("component_id.key").distinct(), "kept")
-    chosen = docs.select(key.alias("key"), F.struct(*COLUMNS).alias("row")).join(kept, "key", "left_semi")
-    return _documents(chosen.groupBy("key").agg(F.min("row").alias("row")).select("row.*"))
+    # equal rows are folded before the exchange, however many there are
+    single = docs.select(key.alias("key"), F.struct(*COLUMNS).alias("row")).groupBy("key").agg(F.min("row").alias("row"))
+    return _documents(single.join(kept, "key", "left_semi").select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
