@@ -74,10 +74,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     ends = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # a table of its own, so that adaptive execution can split a hot hash in the join
     first = saved(ends.filter(~F.col("first").eqNullSafe(F.col("last"))).select("hash", "first"), "first-places")
-    later = found.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
+    # both sides of each join grow with the table, so neither is broadcast at any size
+    later = found.join(first.hint("merge"), "hash").filter(~place.eqNullSafe(F.col("first")))
     covered = saved(later.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "covered")
     rows = docs.select(row_key(col(doc_id), col(text)).alias("key"), whole_row(docs).alias("row"))
-    joined = rows.join(covered, "key", "left")
+    joined = rows.join(covered.hint("merge"), "key", "left")
     old = F.col("row").getField(text)
     cut = _without(F.when(F.col("spans").isNotNull(), old), F.col("spans.start"), F.col("spans.stop"))
     done = joined.select("row", "spans", cut.alias("cut"))
