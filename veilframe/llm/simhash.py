@@ -137,7 +137,8 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, full_bucket: int
         raise ValueError("the distance must be 1 or 2 bits")
     keyed = prints.select("fp", _variants(max_distance))
     shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
-    busy = saved(keyed.join(shared, "key"), "variants")
+    # shared keys grow with the table, so they are not broadcast at any size
+    busy = saved(keyed.join(shared.hint("merge"), "key"), "variants")
     some = busy.filter(F.col("n") <= full_bucket).select("key", "slot", "fp")
     pairs = some.join(some.select("key", F.col("fp").alias("other")), "key").filter(
         (F.col("fp") < F.col("other"))
