@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, fingerprint, lines, mixing, pii, quality, simhash, toxicity, urls, warc
+from veilframe.llm import bpe, fingerprint, lines, merge_tree, mixing, pii, quality, simhash, toxicity, urls, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -140,3 +140,14 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_urls(read(spark, sf_dir, "pages", "page_id", "url"), RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = merge_tree.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "token_ids")
+    encoded = compute_once(encoded, "token_ids", F.col("token_ids"))  # else every reader of the ids encodes anew
+    decoded = merge_tree.decode_documents(encoded, path).withColumn("packed", merge_tree.little_endian(F.col("token_ids")))
+    return decoded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
