@@ -23,6 +23,7 @@ import hashlib
 import heapq
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -38,7 +39,7 @@ from veilframe.llm.common import col, unpacked, whole_row
 #: A file of ranks is broadcast; none may be larger.
 MAX_FILE_BYTES = 64 << 20
 #: Entries of one generation of a memory, and the longest text in bytes that is kept.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+REMEMBERED, REMEMBERED_BYTES = 150_000, 64
 #: Windows up to this many bytes are merged by looking at all pairs each time.
 SHORT = 48
 #: Characters that are encoded, and tokens that are decoded, at a time.
@@ -93,7 +94,7 @@ class Ranks:
             raise ValueError("a rank for every byte and every token is needed, each once")
         self.texts: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(_by_unicode_16(public_tokenizers.PATTERN), regex.V1)
-        self.seams, self.parts, self.by_piece, self.by_cell = Memory(), Memory(), Memory(), Memory()
+        self.seams, self.parts, self.by_cell = Memory(), Memory(), Memory()
 
     def merged(self, text: bytes) -> tuple[int, ...]:
         """Tokens of a short text, by doing the merges: lowest rank first, then from the left."""
@@ -142,13 +143,9 @@ class Ranks:
         """The encoding of two texts put together, from their encodings."""
         if not left or not right:
             return left + right
-        pair = left[-1], right[0]
-        window = self.seams.get(pair)
-        if window is None:
-            window = self.merged(self._text(pair))
-            self.seams.put(pair, window)
         i = j = 1  # tokens of either side in the window
         while True:
+            window = self._window(left[-i:] + right[:j])
             grow_left = i < len(left) and window[0] != left[-i]
             grow_right = j < len(right) and window[-1] != right[j - 1]
             if not grow_left and not grow_right:
@@ -157,7 +154,17 @@ class Ranks:
                 i = min(2 * i, len(left))
             if grow_right:
                 j = min(2 * j, len(right))
-            window = self.merged(self._text(left[-i:]) + self._text(right[:j]))
+
+    def _window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        """The joint text of neighbouring tokens, encoded anew."""
+        text = self._text(tokens)
+        if len(text) > SHORT:
+            return self.merged(text)
+        found = self.seams.get(text)
+        if found is None:
+            found = self.merged(text)
+            self.seams.put(text, found)
+        return found
 
     def reduced(self, text: bytes) -> tuple[int, ...]:
         """Tokens that merges give, by halves."""
@@ -176,19 +183,21 @@ class Ranks:
         whole = self.ranks.get(piece)
         return self.reduced(piece) if whole is None else (whole,)
 
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.encode_piece(piece.encode())).tobytes()
+
     def _cell(self, cell: str) -> bytes:
-        """Ids of one cell, as 32-bit numbers, lowest byte first."""
+        """Ids of one cell, or of one piece, as 32-bit numbers."""
         found = self.by_cell.get(cell)
         if found is None:
-            parts = []
-            for piece in self.pieces.findall(cell):
-                ids = self.by_piece.get(piece)
-                if ids is None:
-                    ids = np.array(self.encode_piece(piece.encode()), "<i4").tobytes()
-                    if len(piece) <= REMEMBERED_BYTES:
-                        self.by_piece.put(piece, ids)
-                parts.append(ids)
-            found = b"".join(parts)
+            letters = cell[1:] if cell[0] == " " else cell
+            if letters.isalpha():  # letters are one piece, with or without a blank
+                found = self._piece(cell)
+            elif letters[:-1].isalpha() and letters[-1] in ",.":
+                found = self._cell(cell[:-1]) + self._cell(cell[-1])
+            else:
+                pieces = self.pieces.findall(cell)
+                found = self._piece(cell) if len(pieces) == 1 else b"".join(map(self._cell, pieces))
             if len(cell) <= REMEMBERED_BYTES:
                 self.by_cell.put(cell, found)
         return found
@@ -205,7 +214,7 @@ class Ranks:
                 found = [self._cell(cells[k]) if ids is None else ids for k, ids in enumerate(found)]
             coded.append(b"".join(found))
             start = stop
-        return np.frombuffer(b"".join(coded), "<i4")
+        return np.frombuffer(b"".join(coded), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of tokens: leaves of some thousand tokens, then pairs up the tree."""
