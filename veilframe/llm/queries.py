@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, fingerprint, lines, merge_tree, mixing, pii, quality, simhash, toxicity, urls, warc
+from veilframe.llm import bpe, dialogue, fingerprint, lines, merge_tree, mixing, phrases, pii, quality, simhash, toxicity, urls, warc
 from veilframe.operators.steps import compute_once
 from veilframe.workspace import workspace
 
@@ -151,3 +151,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair_conversations(dialogue.damage_conversations(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents", "lang", "text"))
+
+
+ORACLES["op13_phrases"] = phrases.ORACLE
