@@ -79,7 +79,7 @@ def test_bits_that_are_shared_change_nothing(spark, small_bitmap):
                 for r in made.to_pylist() if made is not None else []:
                     for e in r["stripe"]:
                         sums[r["lang"], r["prefix"], e["next"]] += e["f"]
-        frequent = [(k, v) for k, v in sums.items() if v >= 10 and k[2] != "\n"]
+        frequent = [(k, v) for k, v in sums.items() if v >= 10 and k[2] is not None]
         bits = phrases.Frequent({})
         for (lang, prefix, word), _ in frequent:
             row = [h for w in [*prefix.split(" "), word] if w for h in [phrases._hash([w.encode()], lang)]]

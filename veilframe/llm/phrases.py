@@ -1,8 +1,8 @@
 """Phrases of words that stand together more often than their parts would have it.
 
 Counting goes by stripes: a prefix of none, one or two words keys a counter of the
-words that come next, with one entry for all else (an end, or a word that can't be
-part of a candidate).  Stripes are merged elementwise.  The merged table gives all
+words that come next, with one entry for all that comes next, ends and words that
+can't be part of a candidate included.  Stripes are merged elementwise.  The merged table gives all
 that scoring needs: an entry is the count of prefix and word together, a stripe's
 total is that of its prefix, and its largest entry tells whether the prefix is
 subsumed by a longer phrase.
@@ -34,8 +34,9 @@ BITS = 1 << 26
 #: Bytes of text whose stripes are counted together in a task.
 COUNTED_BYTES = 8 << 20
 LONGEST = 3
+SLICES = 16
 UNKNOWN = "und"
-#: Stands for the next word at the end of a piece, and for one that can't matter.
+#: Stands where a piece ends.
 REST = b"\n"
 #: A-Z in lower case, tabs as blanks, what parts pieces as line feeds.
 TABLE = bytes(
@@ -105,31 +106,38 @@ def frequent(phrases: DataFrame, length: int) -> Frequent:
     return Frequent({r.bucket - 1: bytes(r.bits) for r in rows})
 
 
+def _words(text: bytes) -> pa.Array:
+    """The words of a text and the ends of its pieces, in order."""
+    parts = pc.split_pattern(pa.array([text.replace(b"\n", b" \n ")], pa.large_binary()), pattern=b" ").values
+    return parts.filter(pc.greater(pc.binary_length(parts), 0))
+
+
 def _stripes(lang: str, text: bytes, length: int, known: list[Frequent]) -> pa.RecordBatch | None:
-    """Stripes of prefixes of `length` words in one text of pieces."""
-    words = pa.array(list(filter(None, text.replace(b"\n", b" \n ").split(b" "))), pa.binary()).dictionary_encode()
+    """Stripes of prefixes of `length` words in one text of pieces.
+
+    The entry without a word is the total, all that comes next and can't matter
+    included.  The longest prefixes need none: it is the entry of their last word.
+    """
+    words = _words(text).dictionary_encode()
     codes, names = words.indices.to_numpy(), words.dictionary.to_pylist()
-    if REST not in names:
-        names.append(REST)
-    rest = names.index(REST)
-    hashes = _hash(names, lang)
-    # a word at each place, and what may come before it, as far as it can matter
     n = len(codes) - length
     if n <= 0:
         return None
-    is_word = np.array([w != REST for w in names])
-    good = (is_word & known[0].has(hashes)) if length else is_word
-    nxt = codes[length:].copy()
-    nxt[~good[nxt]] = rest
-    kept = good[codes[:n]]
-    for i in range(1, length):
+    hashes = _hash(names, lang)
+    good = np.array([w != REST for w in names])
+    if length:
+        good &= known[0].has(hashes)
+    # a place counts if what stands there before the next word is frequent, its next word if it can be part of a candidate
+    kept = np.ones(n, bool)
+    for i in range(length):
         kept &= good[codes[i : i + n]]
-    if length == 0:
-        kept = is_word[codes]
+    fits = good[codes[length:]]
     if length > 1:
-        pair = known[1].has(_mixed(hashes[codes[:-1]], hashes[codes[1:]])) & good[codes[:-1]] & good[codes[1:]]
-        kept &= pair[:n]
-        nxt[~pair[1 : n + 1]] = rest
+        pairs = known[1].has(_mixed(hashes[codes[:-1]], hashes[codes[1:]]))
+        kept &= pairs[:n]
+        fits &= pairs[1 : n + 1]
+    if length == LONGEST - 1 or not length:
+        kept &= fits
     at = np.flatnonzero(kept)
     if not len(at):
         return None
@@ -138,15 +146,19 @@ def _stripes(lang: str, text: bytes, length: int, known: list[Frequent]) -> pa.R
     for i in range(length):
         prefix = prefix * size + codes[at + i]
     groups, prefix = np.unique(prefix, return_inverse=True)
-    keys, counts = np.unique(prefix * size + nxt[at], return_counts=True)
-    entry_of, entry_next = keys // size, keys % size
-    offsets = np.searchsorted(entry_of, np.arange(len(groups) + 1))
-    texts = pa.array(names, pa.binary()).cast(pa.string())
-    parts = []
-    for i in range(length):
-        parts.append(texts.take(pa.array(groups // size ** (length - 1 - i) % size)))
+    keys, counts = np.unique((prefix * size + codes[at + length])[fits[at]], return_counts=True)
+    of, nxt = keys // size, keys % size
+    if length < LONGEST - 1:
+        of, nxt = np.concatenate([of, np.arange(len(groups))]), np.concatenate([nxt, np.full(len(groups), -1)])
+        counts = np.concatenate([counts, np.bincount(prefix)])
+        order = np.argsort(of, kind="stable")
+        of, nxt, counts = of[order], nxt[order], counts[order]
+    offsets = np.searchsorted(of, np.arange(len(groups) + 1))
+    texts = words.dictionary.cast(pa.large_string()).cast(pa.string())
+    parts = [texts.take(pa.array(groups // size ** (length - 1 - i) % size)) for i in range(length)]
     prefixes = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(groups))
-    entries = pa.StructArray.from_arrays([texts.take(pa.array(entry_next)), pa.array(counts.astype(np.int64))], fields=list(_ENTRY))
+    nexts = texts.take(pa.array(nxt, mask=nxt < 0))
+    entries = pa.StructArray.from_arrays([nexts, pa.array(counts.astype(np.int64))], fields=list(_ENTRY))
     stripes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries)
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(groups)), prefixes, stripes], ["lang", "prefix", "stripe"])
 
@@ -194,15 +206,12 @@ def stripes(texts: DataFrame, length: int, known: list) -> DataFrame:
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """Stripes merged elementwise: rows of lang, prefix, next (a line feed for all else) and f.
+    """Stripes merged elementwise: rows of lang, prefix, next (null for the total) and f.
 
-    The row of a stripe whose `next` is null has its total.  Both are summed in each
-    task first, and the entries of one stripe are spread, so a prefix as common as any
-    fills no task.
+    Entries are summed in each task first, and those of one stripe are spread, so a
+    prefix as common as any fills no task.
     """
-    entries = found.select("lang", "prefix", F.inline("stripe"))
-    sets = entries.groupingSets([["lang", "prefix", "next"], ["lang", "prefix"]], "lang", "prefix", "next")
-    return sets.agg(F.sum("f").alias("f"))
+    return found.select("lang", "prefix", F.inline("stripe")).groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f"))
 
 
 def collocations(docs: DataFrame, lowest: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
@@ -224,7 +233,7 @@ def collocations(docs: DataFrame, lowest: int = 10, share: int = 50, top: int =
     known, tables = [], []
     for length in range(LONGEST):
         entries = merged(stripes(texts, length, known))
-        kept = entries.filter((F.col("f") >= lowest) & (F.col("next").isNull() | (F.col("next") != REST.decode())) | (F.col("prefix") == "") & F.col("next").isNull())
+        kept = entries.filter((F.col("f") >= lowest) | (F.col("prefix") == "") & F.col("next").isNull())
         tables.append(saved(kept, f"stripes-{length}"))
         if length < LONGEST - 1:
             words = tables[-1].filter(F.col("next").isNotNull())
@@ -245,8 +254,10 @@ def ranked(tables: list[DataFrame], share: int, top: int) -> DataFrame:
     totals, entries = every.filter(F.col("next").isNull()), every.filter(F.col("next").isNotNull())
     whole = F.when(F.col("words") == 1, F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
     phrases = entries.select("lang", whole.alias("phrase"), "prefix", "f", "words")
-    # what stands before a cut is the prefix of a stripe, with its total; what stands after it is an entry
+    # what stands before a cut is the prefix of a stripe, with its total (that of two words is an entry, too);
+    # what stands after it is an entry
     before = totals.filter("prefix <> ''").select("lang", F.lit(0).alias("side"), F.col("prefix").alias("part"), F.col("f").alias("part_f"))
+    before = before.unionByName(phrases.filter(f"words > 1 and words < {LONGEST}").select("lang", F.lit(0).alias("side"), F.col("phrase").alias("part"), F.col("f").alias("part_f")))
     after = phrases.filter(F.col("words") < LONGEST).select("lang", F.lit(1).alias("side"), F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     words = F.split("phrase", " ")
 
@@ -269,8 +280,11 @@ def ranked(tables: list[DataFrame], share: int, top: int) -> DataFrame:
     ends = F.array("prefix", F.expr("substring(phrase, instr(phrase, ' ') + 1)"))
     inside = longer.select("lang", F.explode(ends).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
     kept = scored.join(inside.hint("merge"), ["lang", "phrase"], "left").filter(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    order = [F.desc("best.score"), F.desc("a"), F.col("phrase")]
+    # the first of each slice of a language, then the first of those: the last step gets SLICES * top rows at most
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    best = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).filter(F.col("rank") <= top)
+    first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     n = totals.filter("prefix = ''").select("lang", F.col("f").alias("n"))
     return first.join(n, "lang").select("lang", "rank", "phrase", "a", "best.l", "best.r", "n", "best.score")
 
