@@ -45,7 +45,8 @@ def test_equals_the_library_and_round_trips(ranks, library):
 def test_stretches_and_full_memories(ranks, library, monkeypatch):
     monkeypatch.setattr(merge_tree, "STRETCH", 11)
     monkeypatch.setattr(merge_tree, "LEAF", 3)
-    monkeypatch.setattr(merge_tree, "REMEMBERED", 2)
+    for memory in (ranks.seams, ranks.parts, ranks.by_cell):
+        monkeypatch.setattr(memory, "size", 2)
     for text in list(texts())[:600]:
         ids = library.encode_ordinary(text)
         assert ranks.encode(text).tolist() == ids and ranks.decode(np.array(ids, np.int64)) == text.encode()
@@ -82,7 +83,10 @@ def test_documents(edge_rows, no_rows, library):
     assert len(rows) == edge_rows.count()
     for r in rows:
         assert r.token_ids == library.encode_ordinary(r.text or "") and bytes(r["key"]) == (r.text or "").encode()
-    assert merge_tree.encode_documents(no_rows, PATH).count() == 0
+    for r in merge_tree.round_trip_documents(edge_rows, PATH, ids="key").collect():
+        text = r.text or ""
+        assert np.frombuffer(r["key"], "<i4").tolist() == library.encode_ordinary(text) and bytes(r.decoded) == text.encode()
+    assert merge_tree.encode_documents(no_rows, PATH).count() == merge_tree.round_trip_documents(no_rows, PATH).count() == 0
     again = merge_tree.encode_documents(merge_tree.encode_documents(edge_rows, PATH), PATH)
     assert again.columns.count("token_ids") == 1 and again.count() == edge_rows.count()
 

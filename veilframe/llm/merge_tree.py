@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import NEWER
 from veilframe.llm.common import col, unpacked, whole_row
+from veilframe.operators.steps import compute_once
 
 #: A file of ranks is broadcast; none may be larger.
 MAX_FILE_BYTES = 64 << 20
-#: Entries of one generation of a memory, and the longest text in bytes that is kept.
-REMEMBERED, REMEMBERED_BYTES = 150_000, 64
+#: Entries of one generation of a memory, for cells and for parts of them, and the longest text that is kept.
+CELLS_REMEMBERED, PARTS_REMEMBERED, REMEMBERED_BYTES = 350_000, 200_000, 64
 #: Windows up to this many bytes are merged by looking at all pairs each time.
 SHORT = 48
 #: Characters that are encoded, and tokens that are decoded, at a time.
@@ -66,7 +67,8 @@ def _by_unicode_16(pattern: str) -> str:
 class Memory:
     """What was used of late: when the young generation is full, it becomes the old one."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
@@ -79,7 +81,7 @@ class Memory:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.young) >= REMEMBERED:
+        if len(self.young) >= self.size:
             self.old, self.young = self.young, {}
         self.young[key] = value
 
@@ -94,7 +96,7 @@ class Ranks:
             raise ValueError("a rank for every byte and every token is needed, each once")
         self.texts: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(_by_unicode_16(public_tokenizers.PATTERN), regex.V1)
-        self.seams, self.parts, self.by_cell = Memory(), Memory(), Memory()
+        self.seams, self.parts, self.by_cell = Memory(PARTS_REMEMBERED), Memory(PARTS_REMEMBERED), Memory(CELLS_REMEMBERED)
 
     def merged(self, text: bytes) -> tuple[int, ...]:
         """Tokens of a short text, by doing the merges: lowest rank first, then from the left."""
@@ -278,15 +280,18 @@ class RankTokenizer:
 
         return run(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Ids of each text as 32-bit numbers, lowest byte first, and the bytes that they decode to."""
+        load = self._loader()
 
-def little_endian(ids: Column) -> Column:
-    """Ids as 32-bit numbers, lowest byte first, one after the other."""
-
-    @F.arrow_udf("binary")
-    def run(lists: pa.Array) -> pa.Array:
-        return pa.array((None if one.values is None else one.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for one in lists), pa.binary())
+        @F.arrow_udf("ids binary, decoded binary")
+        def run(texts: pa.Array) -> pa.Array:
+            ranks = load()
+            rows = [ranks.encode(t.as_py()) for t in texts]
+            packed = pa.array([r.astype("<i4", copy=False).tobytes() for r in rows], pa.binary())
+            return pa.StructArray.from_arrays([packed, pa.array(map(ranks.decode, rows), pa.binary())], ["ids", "decoded"])
 
-    return run(ids)
+        return run(F.coalesce(text, F.lit("")))
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -309,3 +314,14 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", decoded
     """
     found = RankTokenizer(docs.sparkSession, path).decode(col(ids)).alias(decoded)
     return docs.select(*[col(c) for c in docs.columns if c.lower() != decoded.lower()], found)
+
+
+def round_trip_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_bytes", decoded: str = "decoded") -> DataFrame:
+    """`docs` encoded and decoded again in one pass: ids packed as 32-bit numbers, lowest byte first, and the bytes they stand for.
+
+    As `encode_documents` and `decode_documents`, for where the ids are kept packed and checked.
+    """
+    packed = docs.select(whole_row(docs).alias("row"))
+    packed = packed.withColumn("done", RankTokenizer(docs.sparkSession, path).round_trip(F.col("row").getField(text)))
+    packed = compute_once(packed, "done", F.col("done"))  # else every reader of the ids encodes anew
+    return unpacked(packed, "row", docs.columns, **{ids: F.col("done.ids"), decoded: F.col("done.decoded")})

@@ -145,11 +145,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = merge_tree.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "token_ids")
-    encoded = compute_once(encoded, "token_ids", F.col("token_ids"))  # else every reader of the ids encodes anew
-    decoded = merge_tree.decode_documents(encoded, path).withColumn("packed", merge_tree.little_endian(F.col("token_ids")))
-    return decoded.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    done = merge_tree.round_trip_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return done.select(
+        "doc_id", F.expr("cast(octet_length(token_bytes) div 4 as long)").alias("n_tokens"),
+        F.sha2("token_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
