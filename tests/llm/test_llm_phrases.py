@@ -75,10 +75,10 @@ def test_bits_that_are_shared_change_nothing(spark, small_bitmap):
         sums = Counter()
         for lang, texts in parts.items():
             for share in phrases._shares(b"".join(texts)):
-                made = phrases._stripes(lang, share, length, known)
+                made = phrases._stripes(lang, share, length, known, known[-1] if known else None)
                 for r in made.to_pylist() if made is not None else []:
-                    for e in r["stripe"]:
-                        sums[r["lang"], r["prefix"], e["next"]] += e["f"]
+                    for word, f in zip(r["nexts"].split(" ") if r["nexts"] else [], r["counts"].split(), strict=True):
+                        sums[r["lang"], r["prefix"], word] += int(f)
         frequent = [(k, v) for k, v in sums.items() if v >= 10 and k[2] is not None]
         bits = phrases.Frequent({})
         for (lang, prefix, word), _ in frequent:
@@ -133,5 +133,11 @@ def test_total_of_a_stripe_is_the_count_of_its_prefix(spark):
     known = spark.sparkContext.broadcast(phrases.Frequent({}))
     known.value.bits[:] = np.uint8(255)
     every = spark.sparkContext.broadcast(known.value)
-    totals = {(r.lang, r.prefix): r.f for r in phrases.merged(phrases.stripes(texts, 1, [every])).filter("next is null").collect()}
-    assert totals == ones and len(ones) > 10
+    none = spark.sparkContext.broadcast(phrases.Frequent({}))
+    found = []
+    for hot in (every, none):  # in slices and whole
+        rows = phrases.merged(phrases.stripes(texts, 1, [every], hot)).collect()
+        assert {(r.lang, r.prefix): r.f for r in rows if r["next"] is None} == ones and len(ones) > 10
+        found.append({(r.lang, r.prefix, r["next"], r.f) for r in rows})
+        assert len(found[-1]) == len(rows)
+    assert found[0] == found[1]

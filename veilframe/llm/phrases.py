@@ -34,7 +34,8 @@ BITS = 1 << 26
 #: Bytes of text whose stripes are counted together in a task.
 COUNTED_BYTES = 8 << 20
 LONGEST = 3
-SLICES = 16
+#: Slices of a language's phrases when they are ranked, and of a common prefix's stripe.
+RANK_SLICES, SLICES = 16, 64
 UNKNOWN = "und"
 #: Stands where a piece ends.
 REST = b"\n"
@@ -42,12 +43,14 @@ REST = b"\n"
 TABLE = bytes(
     b + 32 if 65 <= b <= 90 else 0x20 if b == 9 else 0x0A if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256)
 )
+#: A slice of a stripe: next words and their counts, both put together with blanks, and the stripe's total in one of its slices.
 STRIPES = T.StructType([
-    T.StructField("lang", T.StringType()),
-    T.StructField("prefix", T.StringType()),
-    T.StructField("stripe", T.ArrayType(T.StructType([T.StructField("next", T.StringType()), T.StructField("f", T.LongType())]))),
+    T.StructField("lang", T.StringType()), T.StructField("prefix", T.StringType()), T.StructField("slice", T.LongType()),
+    T.StructField("total", T.LongType()), T.StructField("nexts", T.StringType()), T.StructField("counts", T.StringType()),
 ])
-_ENTRY = pa.struct([("next", pa.string()), ("f", pa.int64())])
+#: Stripes of prefixes that make so large a part of all words are cut in slices.
+HOT_SHARE = 5000
+_ENTRIES = "array<struct<next:string,f:bigint>>"
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -112,11 +115,11 @@ def _words(text: bytes) -> pa.Array:
     return parts.filter(pc.greater(pc.binary_length(parts), 0))
 
 
-def _stripes(lang: str, text: bytes, length: int, known: list[Frequent]) -> pa.RecordBatch | None:
+def _stripes(lang: str, text: bytes, length: int, known: list[Frequent], hot: Frequent | None) -> pa.RecordBatch | None:
     """Stripes of prefixes of `length` words in one text of pieces.
 
-    The entry without a word is the total, all that comes next and can't matter
-    included.  The longest prefixes need none: it is the entry of their last word.
+    The total is of all that comes next, what can't matter included.  The longest
+    prefixes need none: it is the entry of their last word.
     """
     words = _words(text).dictionary_encode()
     codes, names = words.indices.to_numpy(), words.dictionary.to_pylist()
@@ -146,21 +149,30 @@ def _stripes(lang: str, text: bytes, length: int, known: list[Frequent]) -> pa.R
     for i in range(length):
         prefix = prefix * size + codes[at + i]
     groups, prefix = np.unique(prefix, return_inverse=True)
-    keys, counts = np.unique((prefix * size + codes[at + length])[fits[at]], return_counts=True)
-    of, nxt = keys // size, keys % size
+    of_group = [groups // size ** (length - 1 - i) % size for i in range(length)]
+    # each entry goes by its prefix, and by its next word too where the prefix is common
+    common = hot.has(reduce(_mixed, [hashes[c] for c in of_group])) if length else np.ones(1, bool)
+    place = prefix * SLICES + np.where(common[prefix], (hashes[codes[at + length]] >> np.uint64(40)).astype(np.int64) % SLICES, 0)
+    keys, counts = np.unique((place * size + codes[at + length])[fits[at]], return_counts=True)
+    entry_place, nxt = keys // size, keys % size
+    places = np.unique(entry_place)
+    total = np.zeros(len(places), np.int64)
     if length < LONGEST - 1:
-        of, nxt = np.concatenate([of, np.arange(len(groups))]), np.concatenate([nxt, np.full(len(groups), -1)])
-        counts = np.concatenate([counts, np.bincount(prefix)])
-        order = np.argsort(of, kind="stable")
-        of, nxt, counts = of[order], nxt[order], counts[order]
-    offsets = np.searchsorted(of, np.arange(len(groups) + 1))
+        places = np.union1d(places, np.arange(len(groups)) * SLICES)
+        total = np.where(places % SLICES == 0, np.bincount(prefix)[places // SLICES], 0)
+    offsets = pa.array(np.searchsorted(entry_place, np.append(places, len(groups) * SLICES)).astype(np.int32))
     texts = words.dictionary.cast(pa.large_string()).cast(pa.string())
-    parts = [texts.take(pa.array(groups // size ** (length - 1 - i) % size)) for i in range(length)]
-    prefixes = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(groups))
-    nexts = texts.take(pa.array(nxt, mask=nxt < 0))
-    entries = pa.StructArray.from_arrays([nexts, pa.array(counts.astype(np.int64))], fields=list(_ENTRY))
-    stripes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(groups)), prefixes, stripes], ["lang", "prefix", "stripe"])
+
+    def put_together(items: pa.Array) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, items), " ")
+
+    group = places // SLICES
+    parts = [texts.take(pa.array(c[group])) for c in of_group]
+    prefixes = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(group))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(group)), prefixes, pa.array(places % SLICES), pa.array(total), put_together(texts.take(pa.array(nxt))), put_together(pa.array(counts).cast(pa.string()))],
+        STRIPES.fieldNames(),
+    )
 
 
 def _shares(text: bytes) -> Iterator[bytes]:
@@ -173,21 +185,21 @@ def _shares(text: bytes) -> Iterator[bytes]:
         start = stop
 
 
-def stripes(texts: DataFrame, length: int, known: list) -> DataFrame:
-    """Stripes of prefixes of `length` words, from rows of lang and text: one row per prefix and share of text.
+def stripes(texts: DataFrame, length: int, known: list, hot=None) -> DataFrame:
+    """Stripes of prefixes of `length` words, from rows of lang and text: one row per prefix, slice and share of text.
 
-    `known` are broadcast variables of `Frequent` for shorter phrases.
+    `known` are broadcast variables of `Frequent` for shorter phrases, `hot` of that of the common prefixes.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = [k.value for k in known]
+        bitmaps, common = [k.value for k in known], hot and hot.value
         held: dict[str, list[bytes]] = defaultdict(list)
         size = 0
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 for share in _shares(b"".join(parts)):
-                    made = _stripes(lang, share, length, bitmaps)
+                    made = _stripes(lang, share, length, bitmaps, common)
                     if made is not None:
                         yield made
             held.clear()
@@ -208,10 +220,15 @@ def stripes(texts: DataFrame, length: int, known: list) -> DataFrame:
 def merged(found: DataFrame) -> DataFrame:
     """Stripes merged elementwise: rows of lang, prefix, next (null for the total) and f.
 
-    Entries are summed in each task first, and those of one stripe are spread, so a
-    prefix as common as any fills no task.
+    Stripes travel whole, a word and a count for each entry, by their prefix and slice;
+    the stripe of a common prefix is spread, so that one as common as any fills no task.
     """
-    return found.select("lang", "prefix", F.inline("stripe")).groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f"))
+    listed = F.arrays_zip(F.split("nexts", " ").alias("next"), F.transform(F.split("counts", " "), lambda f: f.cast("long")).alias("f"))
+    entries = F.when(F.col("nexts") != "", listed).otherwise(F.array().cast(_ENTRIES))
+    total = F.when(F.col("total") > 0, F.array(F.struct(F.lit(None).cast("string").alias("next"), F.col("total").alias("f")))).otherwise(F.array().cast(_ENTRIES))
+    dealt = found.repartition("lang", "prefix", "slice")
+    each = dealt.select("lang", "prefix", "slice", F.inline(F.concat(entries, total)))
+    return each.groupBy("lang", "prefix", "slice", "next").agg(F.sum("f").alias("f")).drop("slice")
 
 
 def collocations(docs: DataFrame, lowest: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
@@ -230,14 +247,16 @@ def collocations(docs: DataFrame, lowest: int = 10, share: int = 50, top: int =
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(col("lang"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(col("text"), F.lit("")).alias("text"))
-    known, tables = [], []
+    known, hot, tables = [], None, []
     for length in range(LONGEST):
-        entries = merged(stripes(texts, length, known))
+        entries = merged(stripes(texts, length, known, hot))
         kept = entries.filter((F.col("f") >= lowest) | (F.col("prefix") == "") & F.col("next").isNull())
         tables.append(saved(kept, f"stripes-{length}"))
         if length < LONGEST - 1:
             words = tables[-1].filter(F.col("next").isNotNull())
             known.append(spark.sparkContext.broadcast(frequent(words, length + 1)))
+            total = tables[0].filter(F.col("next").isNull() & (F.col("prefix") == "")).agg(F.sum("f")).first()[0] or 0
+            hot = spark.sparkContext.broadcast(frequent(words.filter(F.col("f") >= total // HOT_SHARE), length + 1))
     return ranked(tables, share, top)
 
 
@@ -281,8 +300,8 @@ def ranked(tables: list[DataFrame], share: int, top: int) -> DataFrame:
     inside = longer.select("lang", F.explode(ends).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longest"))
     kept = scored.join(inside.hint("merge"), ["lang", "phrase"], "left").filter(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a")))
     order = [F.desc("best.score"), F.desc("a"), F.col("phrase")]
-    # the first of each slice of a language, then the first of those: the last step gets SLICES * top rows at most
-    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    # the first of each slice of a language, then the first of those: the last step gets RANK_SLICES * top rows at most
+    sliced = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SLICES)))
     best = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).filter(F.col("rank") <= top)
     first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     n = totals.filter("prefix = ''").select("lang", F.col("f").alias("n"))
