@@ -27,11 +27,12 @@ from veilframe.operators import chunking, classify, combine, detection, jobs, re
 from veilframe.operators.steps import spread
 from veilframe.plans.detect import detect_documents, detect_jobs, detect_long_documents
 from veilframe.plans.service import DetectionService
-from veilframe.plans.transform import transform_documents
-from veilframe.sources import catalogue, documents, messages, results, weights
+from veilframe.plans.transform import transform_documents, transform_long_documents
+from veilframe.sources import catalogue, documents, long_files, messages, results, weights
 from veilframe.sources.jobs import job_requests
 from veilframe.streaming import detect as stream_detect
 from veilframe.streaming import jobs as stream_jobs
+from veilframe.streaming import state as stream_state
 from veilframe.workspace import workspace
 
 QUERIES = {}
@@ -81,6 +82,17 @@ def read_text_documents(t):
     )
 
 
+@query
+def read_chunks(t):
+    path = workspace(t.spark, "files")
+    crlf = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    one_file = t.read("documents").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    one_file.select("lang", crlf.alias("text")).write.partitionBy("lang").text(path)
+    chunks = long_files.read_chunks(t.spark, path, "*.txt", CHUNK, OVERLAP)
+    lang = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+    return chunks.select(lang, "chunk_idx", "total_chunks", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @query
 def job_requests_(t):
     return job_requests(t.jobs()).select(
@@ -653,17 +665,48 @@ def _store(t, base: str) -> str:
     return f"{base}/store"
 
 
+def _arrived(t, base: str) -> DataFrame:
+    """The messages as a stream of a table by arrival, which is written first."""
+    placed = messages.with_job_bucket(messages.with_arrival(messages.as_messages(all_messages(t)), F.col("submitted_ts")), 8)
+    placed.repartition(8, "job_bucket").write.partitionBy("arrival", "job_bucket").parquet(f"{base}/store")
+    return messages.read_message_stream(t.spark, f"{base}/store", "parquet", messages.STORED_BY_ARRIVAL, 4)
+
+
 def _complete(t, salt=None) -> str:
     base = workspace(t.spark, "jobs")
-    store = _store(t, base)
-    stream = messages.read_message_stream(t.spark, store, "parquet", messages.STORED, 4)
+    events = stream_state.track_jobs(_arrived(t, base), None)
     stream_jobs.stream_complete_jobs(
-        t.spark, stream_jobs.completion_events(stream, "7 days"), store, f"{base}/out", f"{base}/check",
+        t.spark, events, f"{base}/store", f"{base}/out", f"{base}/check",
         chunk_size=MSG_CHUNK, overlap=MSG_OVERLAP, salt=salt, nonce=NONCE, once=True, buckets=8,
     ).awaitTermination()
     return f"{base}/out"
 
 
+@query
+def stream_track_jobs(t):
+    base = workspace(t.spark, "track")
+    events = stream_state.track_jobs(_arrived(t, base), None)
+    stream_state.write_updates(events, f"{base}/out", f"{base}/check", once=True).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("job_id", "status", "reports", "expected")
+
+
+@query
+def stream_job_progress(t):
+    base = workspace(t.spark, "progress")
+    status = t.read("events").select(
+        F.col("user_id").alias("job_id"), F.expr("event_id % 16").alias("chunk_idx"), F.lit(16).alias("total_chunks"),
+        (F.col("value") > 99).alias("failed"), "ts",
+    )
+    status.repartition(4, "chunk_idx").write.parquet(f"{base}/in")
+    stream = t.spark.readStream.schema(status.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream_state.write_updates(
+        stream_state.stream_job_progress(stream, None), f"{base}/out", f"{base}/check", once=True
+    ).awaitTermination()
+    rest = ["processed_chunks", "total_chunks", "progress", "status", "duration"]
+    last = t.spark.read.parquet(f"{base}/out").groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("l"))
+    return last.select("job_id", *[f"l.{c}" for c in rest[:-1]], F.round("l.duration", 3).alias("duration"))
+
+
 @query
 def stream_complete_jobs(t):
     scores = t.spark.read.parquet(f"{_complete(t)}/scores").drop("batch")
@@ -745,6 +788,16 @@ def transform_documents_(t):
     )
 
 
+@query
+def transform_long_documents_(t):
+    out = transform_long_documents(t.corpus(), SALT, "pseudonymize", chunk_size=CHUNK, overlap=OVERLAP, countries=None)
+    return out.select(
+        "doc_id", "transformed_text",
+        F.col("transformation_report.total_pii_instances").alias("instances"),
+        r6("transformation_report.transformation_impact", "impact"),
+    )
+
+
 @query
 def detect_service(t):
     service = DetectionService({"detection_methods": ["regex"], "supported_countries": ["US"]})
@@ -775,6 +828,28 @@ def custom_recognizer(t):
     return found.select("doc_id", "ord", "label", "span_start", "span_end", "score")
 
 
+def _mail_tagger():
+    find = re.compile(r"u\d+@example\.com").finditer
+    return lambda text, entities: ({"label": "PERSON", "start": m.start(), "end": m.end(), "score": 0.5} for m in find(text))
+
+
+@query
+def recognizer_function(t):
+    found = spans.recognize(t.corpus(), spans.recognizer_function(_mail_tagger))
+    return found.select("doc_id", "ord", "label", "span_start", "span_end", "score")
+
+
+@query
+def mean_pool_wide(t):
+    """Vectors of 384 numbers: six of the given ones, each shifted."""
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.transform("embedding", lambda x: x.cast("double") + i)))
+    tokens = t.read("embeddings").select(
+        F.expr("vec_id % 97").alias("doc_id"), F.expr("case when vec_id % 3 = 0 then 0 else 1 end").alias("mask"), wide.alias("vec")
+    )
+    pooled = classify.mean_pool(tokens, 384)
+    return pooled.select("doc_id", F.posexplode("embedding").alias("dim", "v")).select("doc_id", "dim", r6("v"))
+
+
 @query
 def custom_patterns(t):
     extra = {"tax_id": r"EIN \d{2}-\d{7}", "policy": r"policy \d{3}"}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +25,72 @@ from veilframe.schemas import CLASSIFIER_RESULT
 from veilframe.sources.weights import Weights
 
 
+def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    """One row of `dims` numbers per vector; what is missing is zero, what is beyond is left out."""
+    flat = vectors.flatten()
+    lengths = vectors.value_lengths()
+    if not vectors.null_count and not flat.null_count and len(flat) == len(vectors) * dims and pc.all(pc.equal(lengths, dims)).as_py() is not False:
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), dims)
+    out = np.zeros((len(vectors), dims))
+    for i, vector in enumerate(vectors.to_pylist()):
+        for d, value in enumerate((vector or [])[:dims]):
+            out[i, d] = 0.0 if value is None else value
+    return out
+
+
+def _summed(keys: pa.Array, counts: np.ndarray, sums: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Counts and vectors added up for equal keys of a batch, keys in order of appearance."""
+    coded = keys.dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    return coded.dictionary, np.add.reduceat(counts[order], starts), np.add.reduceat(sums[order], starts, axis=0)
+
+
+def _row_batch(keys: pa.Array, counts: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * sums.shape[1])
+    vectors = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(sums).reshape(-1)))
+    return pa.RecordBatch.from_arrays([keys, pa.array(counts), vectors], ["key", "n", "sums"])
+
+
 def mean_pool(tokens: DataFrame, dims: int, key: str = "doc_id") -> DataFrame:
     """Mean of a document's token vectors, masked tokens left out.
 
-    `tokens` has one row per token: key, mask, vec.  One sum per dimension with
-    map-side combine; vectors are neither exploded nor collected.
+    `tokens` has one row per token: key, mask, vec.  Vectors are added as blocks:
+    those of a key within an Arrow batch first, before the shuffle, and then the sums,
+    sorted by key, as they come.  Time is linear in the numbers, however wide the
+    vectors are, and a key with very many tokens sends one sum per batch.  Numbers that
+    a vector lacks count as zero.
     """
-    mask = F.col("mask").cast("double")
-    sums = [F.sum(F.get("vec", F.lit(d)).cast("double") * mask).alias(f"_s{d}") for d in range(dims)]
-    pooled = tokens.groupBy(key).agg(F.greatest(F.sum(mask), F.lit(1e-9)).alias("_n"), *sums)
-    return pooled.select(key, F.array(*[F.col(f"_s{d}") / F.col("_n") for d in range(dims)]).alias("embedding"))
+    kind = dict(tokens.dtypes)[key]
+    schema = f"key {kind}, n double, sums array<double>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mask = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                yield _row_batch(*_summed(batch.column(0), mask, _matrix(batch.column(2), dims) * mask[:, None]))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last key of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, counts, sums = batch.column(0), batch.column(1).to_numpy(), _matrix(batch.column(2), dims)
+            if held is not None:
+                keys, counts, sums = pa.concat_arrays([held[0], keys]), np.append(held[1], counts), np.vstack([held[2], sums])
+            keys, counts, sums = _summed(keys, counts, sums)
+            held = keys[-1:], counts[-1:], sums[-1:]
+            if len(keys) > 1:
+                yield _row_batch(keys[:-1], counts[:-1], sums[:-1])
+        if held is not None:
+            yield _row_batch(*held)
+
+    small = tokens.select(F.col(key).alias("key"), F.col("mask").cast("double").alias("mask"), F.col("vec").cast("array<double>").alias("vec"))
+    ordered = small.mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key")
+    n = F.greatest("n", F.lit(1e-9))
+    pooled = ordered.mapInArrow(total, schema).withColumn("n", n)
+    return pooled.select(F.col("key").alias(key), F.transform("sums", lambda s: s / F.col("n")).alias("embedding"))
 
 
 def with_features(df: DataFrame, dims: int = 100) -> DataFrame:
@@ -49,9 +108,6 @@ def mlp_forward(df: DataFrame, weights: Weights) -> DataFrame:
     width = weights.input_dim
 
     def forward(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        import pandas as pd
-
         def normed(x, gain, shift):
             centred = x - x.mean(axis=1, keepdims=True)
             return centred / np.sqrt((centred**2).mean(axis=1, keepdims=True) + 1e-5) * gain + shift

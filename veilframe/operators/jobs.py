@@ -21,15 +21,19 @@ def services_needed(methods: Column) -> Column:
     )
 
 
-def needed_messages(messages: DataFrame) -> DataFrame:
-    """Messages that count for readiness, with `needed`, the services per chunk."""
-    methods = F.split("methods", ",")
-    counts = (
+def counts_for_readiness(methods: Column) -> Column:
+    """Whether a message is one that its job waits for."""
+    return (
         (F.col("service") == TEXT_SERVICE)
         | ((F.col("service") == REGEX_SERVICE) & asks_for(methods, REGEX_METHODS))
         | ((F.col("service") == ML_SERVICE) & asks_for(methods, ML_METHODS))
     )
-    return messages.filter(counts).withColumn("needed", services_needed(methods))
+
+
+def needed_messages(messages: DataFrame) -> DataFrame:
+    """Messages that count for readiness, with `needed`, the services per chunk."""
+    methods = F.split("methods", ",")
+    return messages.filter(counts_for_readiness(methods)).withColumn("needed", services_needed(methods))
 
 
 def latest_chunk_result(messages: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from veilframe.catalog import (
     GLINER_CONFIDENCE,
@@ -19,20 +21,47 @@ from veilframe.catalog import (
     PRESIDIO_INTERNATIONAL_ENTITIES,
     PRESIDIO_SERVICE_ENTITIES,
 )
-from veilframe.operators.skew import join_many_to_one
+from veilframe.functions.text import pieces
+from veilframe.operators.skew import fold_many_to_one
+from veilframe.operators.steps import compute_once, spread
 from veilframe.schemas import SPANS
 
 KEYS = ["doc_id", "chunk_idx"]
 
 
-def _covered() -> Column:
-    return F.substring("text", F.col("span_start") + 1, F.col("span_end") - F.col("span_start"))
+BLOCK = 1000
+
+
+def _covered(blocks: Column, text: Column, start: Column, end: Column) -> Column:
+    """What a span covers, from the one or two blocks of the text that it touches.
+
+    A plain `substring` would walk the text from its start for each span.
+    """
+    touched = F.transform(F.sequence((start / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int")), lambda i: F.get(blocks, i))
+    near = F.substring(F.array_join(touched, ""), (start % BLOCK + 1).cast("int"), end - start)
+    return F.when((start >= 0) & (end > start), near).otherwise(F.substring(text, start + 1, end - start))
+
+
+def _cut(joined: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per span with its `value`, from rows of a text and `items`, its spans.
+
+    The text is cut in blocks once, in one pass, however many spans it has, and is
+    not copied to them.
+    """
+    blocks = compute_once(joined, "_blocks", pieces(F.col("text"), BLOCK))
+
+    def value(span: Column) -> Column:
+        covered = _covered(F.col("_blocks"), F.col("text"), span["span_start"], span["span_end"])
+        return F.struct(*[span[c].alias(c) for c in kept], covered.alias("value"))
+
+    found = compute_once(blocks, "_found", F.transform("items", value))
+    return spread(found.select(*KEYS, "_found"), "_found", KEYS, "_at", "_f").select(*KEYS, "_f.*")
 
 
 def span_texts(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     """Every span with the text it covers; offsets count code points."""
-    joined = join_many_to_one(spans, chunks.select(*KEYS, "text"), KEYS)
-    return joined.withColumn("value", _covered()).drop("text")
+    joined = fold_many_to_one(spans, chunks.select(*KEYS, "text"), KEYS)
+    return _cut(joined, [c for c in spans.columns if c not in KEYS])
 
 
 def _map_label(labels: Mapping[str, str], label: Column) -> Column:
@@ -60,15 +89,15 @@ def span_findings(chunks: DataFrame, *reported: DataFrame) -> DataFrame:
     """
     spans = reduce(DataFrame.unionByName, reported)
     gated = "methods" in chunks.columns
-    joined = join_many_to_one(spans, chunks.select(*KEYS, "text", *(["methods"] if gated else [])), KEYS)
+    joined = fold_many_to_one(spans, chunks.select(*KEYS, "text", *(["methods"] if gated else [])), KEYS)
     if gated:
-        joined = joined.filter(F.array_contains("methods", F.col("detection_method")))
-    return joined.select(
+        joined = joined.withColumn("items", F.filter("items", lambda s: F.array_contains("methods", s["detection_method"])))
+    return _cut(joined, [c for c in spans.columns if c not in KEYS]).select(
         *KEYS,
         "method_rank",
         "ord",
         "type",
-        F.array(_covered()).alias("matches"),
+        F.array("value").alias("matches"),
         "detection_method",
         "confidence",
         F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end")).alias("location"),
@@ -129,14 +158,17 @@ def detect_gliner(chunks: DataFrame, spans: DataFrame, *args, **kwargs) -> DataF
     return span_findings(chunks, gliner_spans(spans, *args, **kwargs))
 
 
+TAGGED_AT_ONCE = 10_000
+
+
 def custom_recognizer(
     docs: DataFrame, predict: Callable[[str, list[str]], list[dict]], entities: Sequence[str] = ("ALL",)
 ) -> DataFrame:
     """Spans from a user's recognizer.
 
     `predict(text, entities)` gives dicts with label, start, end and, if it has
-    one, score.  It runs inside the tasks on Arrow batches; put a costly model
-    load behind a cache of its own.
+    one, score.  It runs inside the tasks on Arrow batches; for a recognizer that
+    loads a model see `recognizer_function`.
     """
     wanted = list(entities)
     columns = SPANS.fieldNames()
@@ -149,9 +181,55 @@ def custom_recognizer(
         for batch in batches:
             rows = []
             for doc_id, chunk_idx, text in zip(batch["doc_id"], batch["chunk_idx"], batch["text"]):
-                found = [] if text is None else predict(text, wanted)
-                for ord_, span in enumerate(found):
+                for ord_, span in enumerate([] if text is None else predict(text, wanted)):
                     rows.append((doc_id, chunk_idx, ord_, span["label"], span["start"], span["end"], span.get("score")))
+                    if len(rows) >= TAGGED_AT_ONCE:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     return docs.select("doc_id", "chunk_idx", "text").mapInPandas(tag, SPANS)
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def recognizer_function(build: Callable[[], Callable[[str, list[str]], Iterable[dict]]], entities: Sequence[str] = ("ALL",)):
+    """A table function of a user's recognizer, whose model every Python worker builds once.
+
+    `build()` gives the recognizer: called with a text and entity names, it gives
+    spans one after the other, as `custom_recognizer` describes them.  They leave the
+    worker as they are found.  Use it with `recognize`, or on a table argument:
+
+        tag = recognizer_function(load_my_tagger)
+        tag(docs.asTable())                     # rows where they are
+        tag(docs.asTable().partitionBy("lang"))
+    """
+    wanted, name = list(entities), uuid.uuid4().hex
+    columns = SPANS
+
+    class Recognizer:
+        @staticmethod
+        def analyze(table: AnalyzeArgument) -> AnalyzeResult:
+            if not table.isTable or not {"doc_id", "chunk_idx", "text"} <= set(table.dataType.fieldNames()):
+                raise ValueError("a table with doc_id, chunk_idx and text is needed")
+            return AnalyzeResult(schema=columns)
+
+        def __init__(self):
+            if name not in _MODELS:
+                _MODELS[name] = build()
+            self.predict = _MODELS[name]
+
+        def eval(self, row):
+            if row["text"] is not None:
+                for i, span in enumerate(self.predict(row["text"], wanted)):
+                    yield row["doc_id"], row["chunk_idx"], i, span["label"], span["start"], span["end"], span.get("score")
+
+    return F.udtf(Recognizer)
+
+
+def recognize(docs: DataFrame, function) -> DataFrame:
+    """Spans that a `recognizer_function` finds in every text, read where it lies, without a shuffle."""
+    if "chunk_idx" not in docs.columns:
+        docs = docs.withColumn("chunk_idx", F.lit(0))
+    return function(docs.select("doc_id", "chunk_idx", "text").asTable())

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from veilframe.catalog import DEFAULT_TRANSFORM
 from veilframe.functions.findings import instance_count, type_count_map
+from veilframe.functions.replacing import replace_many
 from veilframe.functions.tokens import check_method, replace_in_order, replacements, token_for
 from veilframe.operators.steps import compute_once
 
+# up to so many values, one walk of the text for each costs less than a way to Python and back
+FEW_VALUES = 64
+
 
 def transform_data(
     df: DataFrame,
@@ -17,19 +21,34 @@ def transform_data(
     method: str | Column = DEFAULT_TRANSFORM,
     nonce: str | None = None,
     key: str = "doc_id",
+    many_values: bool = True,
 ) -> DataFrame:
     """Add `transformed_text` to rows with `text` and `pii_matches`.
 
     The same salt gives the same pseudonym for the same value everywhere.  A
     method given as a column may differ per row; unknown names pseudonymize.
+
+    Values are replaced one after the other, each with a walk of the text.  With
+    `many_values`, a row of more than 64 of them is done by an automaton in one walk,
+    in Python, with the same result; other rows stay in Spark's expressions.
     """
     if isinstance(method, str):
         check_method(method)
     if nonce is None and (not isinstance(method, str) or method == "tokenize"):
         raise ValueError("tokenize needs a nonce that names the run")
     pairs = replacements(F.col("pii_matches"), lambda p: token_for(method, p, F.col(key), salt, nonce))
-    lean = _without_repeats(compute_once(df, "_pairs", pairs))
-    return compute_once(lean, "transformed_text", replace_in_order(F.col("text"), F.col("_pairs"))).drop("_pairs")
+    paired = compute_once(df, "_pairs", pairs)
+    if not many_values:
+        lean = _without_repeats(paired)
+        return compute_once(lean, "transformed_text", replace_in_order(F.col("text"), F.col("_pairs"))).drop("_pairs")
+    is_many = F.coalesce(F.size("_pairs") > FEW_VALUES, F.lit(False))
+    parted = paired.withColumns({"_many": F.when(is_many, F.col("_pairs")), "_pairs": F.when(~is_many, F.col("_pairs"))})
+    lean = _without_repeats(parted)
+    few = compute_once(lean, "_few", F.when(F.col("_many").isNull(), replace_in_order(F.col("text"), F.col("_pairs"))))
+    long = F.when(F.col("_many").isNotNull(), F.col("text"))
+    many = replace_many(long, F.transform("_many", lambda p: p["value"]), F.transform("_many", lambda p: p["token"]))
+    done = few.withColumn("transformed_text", F.coalesce(many, F.col("_few")))
+    return done.drop("_pairs", "_many", "_few")
 
 
 def _without_repeats(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ take the place of `read_message_stream`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -15,6 +15,9 @@ from veilframe.schemas import MESSAGE
 JOB_BUCKETS = 64
 # the message table as it is stored, partitioned by job_bucket
 STORED = StructType([*MESSAGE.fields, StructField("job_bucket", IntegerType())])
+# the same, partitioned by when messages came, then by job_bucket
+STORED_BY_ARRIVAL = StructType([*MESSAGE.fields, StructField("arrival", IntegerType()), StructField("job_bucket", IntegerType())])
+ARRIVAL_SECONDS = 3600
 
 
 def read_message_stream(
@@ -57,3 +60,9 @@ def as_messages(df: DataFrame) -> DataFrame:
 def with_job_bucket(messages: DataFrame, buckets: int = JOB_BUCKETS) -> DataFrame:
     """Add `job_bucket`, the partition a job's messages are stored in."""
     return messages.withColumn("job_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int"))
+
+
+def with_arrival(messages: DataFrame, came: Column | None = None, seconds: int = ARRIVAL_SECONDS) -> DataFrame:
+    """Add `arrival`, the number of the hour a message came in; by the clock, if no time is given."""
+    at = F.current_timestamp() if came is None else came
+    return messages.withColumn("arrival", F.floor(F.unix_seconds(at.cast("timestamp")) / seconds).cast("int"))

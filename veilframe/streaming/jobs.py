@@ -2,14 +2,18 @@
 
 The state holds counters only.  Texts and findings stay in the message table,
 which the stream both reads and looks up, so a job with very many findings
-never has to fit in one state row.
+never has to fit in one state row.  Where the table is partitioned by arrival, a
+lookup reads the time that its jobs took, however old the table is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from veilframe.catalog import METHOD_RANK
 from veilframe.operators.chunking import reassemble_chunks
@@ -18,7 +22,8 @@ from veilframe.operators.jobs import latest_chunk_result, needed_messages
 from veilframe.operators.steps import spread
 from veilframe.operators.transform import transform_data, transform_report
 from veilframe.schemas import FINDING_FIELDS
-from veilframe.sources.messages import JOB_BUCKETS, STORED, with_job_bucket
+from veilframe.sources.messages import JOB_BUCKETS, STORED, STORED_BY_ARRIVAL, with_job_bucket
+from veilframe.streaming.state import rocksdb
 
 
 def completion_events(messages: DataFrame, timeout: str) -> DataFrame:
@@ -60,6 +65,29 @@ def job_quantum(messages: DataFrame) -> DataFrame:
     return first.select("job_id", F.col("quantum").alias("quantum_analysis"))
 
 
+def stored_messages(
+    spark: SparkSession, store: str, complete: DataFrame, fmt: str = "parquet", schema: StructType | None = None
+) -> DataFrame:
+    """Messages of complete jobs (job_id, job_bucket), from the partitions that can hold them.
+
+    With `first_arrival` and `last_arrival` these are the buckets of the jobs in the
+    hours from the first message to the last; the list that the driver gets has one
+    entry per partition to be read.
+    """
+    by_arrival = "first_arrival" in complete.columns
+    if schema is None:
+        schema = STORED_BY_ARRIVAL if by_arrival else STORED
+    stored = spark.read.schema(schema).format(fmt).load(store)
+    if by_arrival:
+        hours = complete.select("job_bucket", F.explode(F.sequence("first_arrival", "last_arrival")).alias("arrival")).distinct()
+        buckets: dict[tuple[int, ...], list[int]] = {}  # hours that need the same buckets are asked for together
+        for row in hours.groupBy("arrival").agg(F.sort_array(F.collect_list("job_bucket")).alias("buckets")).collect():
+            buckets.setdefault(tuple(row["buckets"]), []).append(row["arrival"])
+        wanted = [F.col("arrival").isin(at) & F.col("job_bucket").isin(list(which)) for which, at in buckets.items()]
+        stored = stored.filter(reduce(Column.__or__, wanted, F.lit(False)))
+    return stored.join(complete.select("job_bucket", "job_id"), ["job_bucket", "job_id"], "left_semi")
+
+
 def stream_complete_jobs(
     spark: SparkSession,
     events: DataFrame,
@@ -76,23 +104,29 @@ def stream_complete_jobs(
 ) -> StreamingQuery:
     """Write the combined result of every job when it becomes complete.
 
-    `events` comes from `completion_events` over the message table at `store`,
-    so whatever made a job complete is already in that table.  The table is
-    partitioned by `job_bucket`; the lookup reads only the buckets of the jobs
-    that completed in this batch.  Output goes to one folder per batch and is
-    overwritten if the batch runs again: findings, scores, and the rewritten
-    texts of the jobs that asked for them if `salt` is given.
+    `events` comes from `track_jobs` or `completion_events` over the message table at
+    `store`, so whatever made a job complete is already in that table.  The table is
+    partitioned by `job_bucket`, and for `track_jobs` by `arrival` above it; the lookup
+    reads only the partitions of the jobs that completed in this batch.  Output goes
+    to one folder per batch and is overwritten if the batch runs again: findings,
+    scores, the rewritten texts of the jobs that asked for them if `salt` is given, and
+    the jobs whose time was over.
     """
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        complete = with_job_bucket(batch.filter(F.col("reports") >= F.col("expected")).select("job_id"), buckets)
+        span = [c for c in ("first_arrival", "last_arrival") if c in batch.columns]
         # The state must be advanced once, however many tables are written.
-        complete = complete.persist()
+        batch = batch.persist()
         try:
+            if span:
+                late = batch.filter(F.col("status") == "incomplete").select("job_id", "reports", "expected", "status")
+                if not late.isEmpty():
+                    late.write.mode("overwrite").parquet(f"{out}/incomplete/batch={batch_id}")
+            done = F.col("status") == "complete" if span else F.col("reports") >= F.col("expected")
+            complete = with_job_bucket(batch.filter(done).select("job_id", *span), buckets)
             if complete.isEmpty():
                 return
-            stored = spark.read.schema(STORED).format(fmt).load(store)
-            mine = stored.join(complete, ["job_bucket", "job_id"], "left_semi")
+            mine = stored_messages(spark, store, complete, fmt)
             reports = latest_chunk_result(mine.filter(F.col("action") == "results").drop("text"))
             unique = dedup_findings(job_findings(reports), "job_id")
             # The rest reads the written table, so the merge runs once.
@@ -105,14 +139,17 @@ def stream_complete_jobs(
                 rewritten = _rewrite(mine.drop("pii_matches", "quantum"), unique, chunk_size, overlap, salt, nonce)
                 rewritten.write.mode("overwrite").parquet(f"{out}/texts/batch={batch_id}")
         finally:
-            complete.unpersist()
+            batch.unpersist()
 
     if salt is not None and (nonce is None or chunk_size is None):
         raise ValueError("rewriting needs nonce and chunk_size")
     writer = events.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    if "first_arrival" not in events.columns:
+        return writer.start()
+    with rocksdb(spark):
+        return writer.start()
 
 
 def _rewrite(
