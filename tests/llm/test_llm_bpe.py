@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from veilframe.llm import bpe
+from veilframe.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,7 +40,8 @@ def test_equals_the_library_and_round_trips(vocabulary, library):
 
 
 def test_caches_may_run_full(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    for memory in (vocabulary.pairs, vocabulary.by_piece, vocabulary.by_word):
+        monkeypatch.setattr(memory, "size", 3)
     monkeypatch.setattr(bpe, "DECODED_AT_ONCE", 4)
     text = "The quick brown fox, jumped over 12 lazy dogs. " * 5
     assert vocabulary.decode(vocabulary.encode(text)).decode() == text
@@ -52,7 +55,20 @@ def test_documents(edge_rows, no_rows, library):
     assert len(rows) == edge_rows.count()
     for r in rows:
         assert r.token_ids == library.encode(r.text or "").ids and r["key"] == (r.text or "")
-    assert bpe.encode_documents(no_rows, PATH).count() == 0
+    for r in bpe.round_trip_documents(edge_rows, PATH, ids="row", decoded="key").collect():
+        assert r["row"] == library.encode(r.text or "").ids and r["key"] == (r.text or "")
+    assert bpe.encode_documents(no_rows, PATH).count() == bpe.round_trip_documents(no_rows, PATH).count() == 0
+
+
+def test_query_equals_the_library(spark, library):
+    """The query's own digests, on every document of the table."""
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want[r.doc_id] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op6_bpe"](spark, sf).collect()} == want
 
 
 def test_lists_that_are_null_or_unknown(spark):

@@ -61,7 +61,7 @@ def test_rates_meet_targets(spark):
 def test_many_sources_are_joined_with_salt(spark, monkeypatch):
     docs = spark.range(500).selectExpr("id as doc_id", "concat('s', id % 7) as source", "'text' as text")
     want = sorted((r.doc_id, r.copy) for r in mixing.mix_sources(docs).collect())
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 0)
     assert sorted((r.doc_id, r.copy) for r in mixing.mix_sources(docs).collect()) == want
 
 
@@ -73,6 +73,27 @@ def test_poisson_steps(spark):
         assert abs(mean - r.rate) < 1e-6
 
 
+def test_steps_of_large_rates_are_few(spark):
+    """A source of one character beside 100 TB has a rate of ten million."""
+    rates = spark.createDataFrame([(4_999.0,), (5_001.0,), (1e7,), (1e9,)], "rate double").selectExpr("struct(rate) as source_key", "rate")
+    for r in mixing.poisson_steps(rates).collect():
+        assert len(r.steps) <= 24 * r.rate**0.5 + 200 + (r.rate if r.rate < 5000 else 0)
+        assert abs(r.steps[-1] - 1) < 1e-4 and r.steps[0] < 1e-12
+        mean = sum((r.least + k) * (c - p) for k, (p, c) in enumerate(zip([0.0, *r.steps], r.steps))) / r.steps[-1]
+        assert abs(mean - r.rate) < 1e-3 * r.rate**0.5
+        variance = sum((r.least + k - mean) ** 2 * (c - p) for k, (p, c) in enumerate(zip([0.0, *r.steps], r.steps))) / r.steps[-1]
+        assert abs(variance / r.rate - 1) < 1e-3
+    with pytest.raises(Exception, match="repeated over"):
+        mixing.poisson_steps(rates.selectExpr("source_key", "rate * 2 as rate")).collect()
+
+
+def test_a_document_of_many_copies(spark):
+    docs = spark.createDataFrame([(1, "tiny", ""), (2, "big", "x" * 40_000)], "doc_id long, source string, text string")
+    rows = mixing.mix_sources(docs, {"tiny": 1.0, "big": 1.0}).groupBy("doc_id").agg({"copy": "max", "*": "count"}).collect()
+    tiny = next(r for r in rows if r.doc_id == 1)
+    assert tiny["max(copy)"] == tiny["count(1)"] and abs(tiny["count(1)"] - 20_000) < 1000
+
+
 def test_mixing_edges(edge_rows, no_rows):
     mixed = mixing.mix_sources(edge_rows, total=100_000_000.0)
     assert sorted(mixed.columns) == sorted([*edge_rows.columns, "copy", "shuffle_key"])

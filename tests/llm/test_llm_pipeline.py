@@ -55,6 +55,7 @@ def test_tokens_of_the_mixture(tables):
     assert Counter(r.doc_id for r in rows(tables[4])) == Counter(r.doc_id for r in last)
     for r in last:
         assert r.token_ids == library.encode(texts[r.doc_id]).ids and r.n_tokens == len(r.token_ids)
+        assert r.text == texts[r.doc_id]
 
 
 def test_run(spark, tables):

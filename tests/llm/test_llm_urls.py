@@ -62,7 +62,14 @@ def test_a_branch_that_is_labelled_differently_is_not_merged(spark):
 
 def test_deep_paths_and_edges(spark, edge_rows, no_rows):
     deep = spark.createDataFrame([("http://h/" + "/".join("abcdefghijkl"),)], "url string")
-    assert urls.judge_urls(deep, RULES).first().template == "/a/b/c/d/e/f/g/**"
+    assert urls.judge_urls(deep, RULES).first().template == "/" + "/".join("abcdefghijkl")
+    # deep paths are judged as shallow ones are, and a lone path of very many segments costs nothing
+    ends = [(f"{end}/page{i}", int(end == "spam")) for end in ("spam", "good") for i in range(100)]
+    rows = [(f"http://{host}/{lead}{e}", bad) for host, lead in (("shallow", ""), ("deep", "a/b/c/d/e/f/g/h/i/")) for e, bad in ends]
+    rows.append(("http://lone/" + "x/" * 3000, None))
+    got = urls.judge_urls(spark.createDataFrame(rows, "url string, bad int"), (), labels="bad").collect()
+    assert all((r.verdict == "block") == (r.bad == 1) for r in got)
+    assert {r.template for r in got if "deep" in r.url} == {"/a/b/c/d/e/f/g/h/i/spam/*", "/a/b/c/d/e/f/g/h/i/good/*"}
     rows = urls.judge_urls(edge_rows, RULES).collect()
     assert len(rows) == edge_rows.count() and {r.template for r in rows if r.url is None} == {"/"}
     assert urls.judge_urls(no_rows, RULES).count() == 0

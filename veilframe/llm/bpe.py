@@ -22,7 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, unpacked, whole_row
+from veilframe.llm.common import Memory, col, unpacked, whole_row
+from veilframe.operators.steps import compute_once
 
 #: Fixed value: letters and numbers of the regex module that are newer than
 #: Unicode 16, by which byte-level BPE is defined here.
@@ -46,8 +47,8 @@ PIECES = (
 )
 #: A tokenizer's file is broadcast; none may be larger.
 MAX_FILE_BYTES = 64 << 20
-#: Pieces, words and pairs of tokens that a worker remembers, and the longest text of one.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 100
+#: Entries of one generation of what a worker remembers: words, and pieces and pairs of tokens; the longest text of one.
+WORDS_REMEMBERED, REMEMBERED, REMEMBERED_BYTES = 350_000, 150_000, 100
 #: Tokens that are turned into bytes at a time.
 DECODED_AT_ONCE = 1 << 20
 
@@ -64,12 +65,6 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _remember(where: dict, key, value) -> None:
-    if len(where) >= REMEMBERED:
-        where.clear()
-    where[key] = value
-
-
 class Vocabulary:
     """Tokens of a byte-level BPE file, numbered by rank: bytes first, then merges."""
 
@@ -110,14 +105,13 @@ class Vocabulary:
         longest_first = sorted(self.special, key=lambda s: (-len(s), s))
         self.is_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.pieces = regex.compile(PIECES, regex.V1)
-        self.pairs: dict[tuple[int, int], bool] = {}  # the compatibility table, as far as it was needed
-        self.by_piece: dict[str, bytes] = {}
-        self.by_word: dict[str, bytes] = {}  # words with a blank before them, by the word
+        self.pairs = Memory(REMEMBERED)  # the compatibility table, as far as it was needed
+        self.by_piece = Memory(REMEMBERED)
+        self.by_word = Memory(WORDS_REMEMBERED)  # words with a blank before them, by the word
         by_id = dict(zip(self.ids, self.texts)) | {i: s.encode() for s, i in self.special.items()}
         parts = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(parts))])
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        self.table = pa.array(parts, pa.binary())  # bytes of all tokens, one after the other, with their offsets
 
     def compatible(self, left: int, right: int) -> bool:
         """Do merges of the joint text leave exactly these two tokens?
@@ -156,7 +150,7 @@ class Vocabulary:
                 fits = pairs.get(pair)
                 if fits is None:
                     fits = self.compatible(*pair)
-                    _remember(pairs, pair, fits)
+                    pairs.put(pair, fits)
             if fits and open_at[end]:
                 found.append(token)
                 at = end
@@ -180,7 +174,7 @@ class Vocabulary:
                 data = piece.encode()
                 ids = self._coded(data)
                 if len(data) <= REMEMBERED_BYTES:
-                    _remember(self.by_piece, piece, ids)
+                    self.by_piece.put(piece, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -188,10 +182,13 @@ class Vocabulary:
         return array("i", [self.ids[r] for r in self.encode_piece(piece)]).tobytes()
 
     def _spaced(self, word: str) -> bytes:
-        """Ids of a new word with a blank before it.
+        """Ids of a word with a blank before it.
 
         Letters and the blank are one piece; so are a point or comma after them.
         """
+        ids = self.by_word.get(word)
+        if ids is not None:
+            return ids
         if word.isalpha():
             ids = self._coded(b" " + word.encode())
         elif word[-1] in ",." and word[:-1].isalpha():
@@ -200,7 +197,7 @@ class Vocabulary:
         else:
             ids = self._pieces_of(" " + word)
         if len(word) <= REMEMBERED_BYTES:
-            _remember(self.by_word, word, ids)
+            self.by_word.put(word, ids)
         return ids
 
     def _plain(self, text: str) -> bytes:
@@ -222,7 +219,7 @@ class Vocabulary:
             if words != line.split():  # other white space, or more than one in a row
                 return self._pieces_of(text)
             out.append(self._word(words[0]))
-            found = list(map(self.by_word.get, words[1:]))
+            found = list(map(self.by_word.young.get, words[1:]))
             if None in found:
                 found = [self._spaced(words[k]) if ids is None else ids for k, ids in enumerate(found, 1)]
             out += found
@@ -240,15 +237,15 @@ class Vocabulary:
         return np.frombuffer(b"".join(coded), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of many tokens at once: copies from one blob by the offset table."""
+        """Bytes of many tokens at once: a table of all tokens' bytes, taken from by its offsets."""
         out = []
         for start in range(0, len(ids), DECODED_AT_ONCE):
             part = ids[start : start + DECODED_AT_ONCE]
             if part.min() < 0 or part.max() >= len(self.known) or not self.known[part].all():
                 raise ValueError("there is no token of such an id")
-            begin, size = self.offsets[part], self.offsets[part + 1] - self.offsets[part]
-            shift = begin - (np.cumsum(size) - size)
-            out.append(self.blob[np.arange(size.sum()) + np.repeat(shift, size)].tobytes())
+            taken = self.table.take(pa.array(part))
+            offsets = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4)
+            out.append(taken.buffers()[2][int(offsets[0]) : int(offsets[-1])].to_pybytes() if offsets[-1] > offsets[0] else b"")
         return b"".join(out)
 
 
@@ -303,6 +300,19 @@ class Tokenizer:
 
         return run(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """Token ids of each text, and the text that they decode to."""
+        load = self._loader()
+
+        @F.arrow_udf("ids array<int>, decoded string")
+        def run(texts: pa.Array) -> pa.Array:
+            words = load()
+            rows = [words.encode(t.as_py()) for t in texts]
+            decoded = pa.array([words.decode(r).decode("utf-8", "replace") for r in rows], pa.string())
+            return pa.StructArray.from_arrays([_lists(rows), decoded], ["ids", "decoded"])
+
+        return run(F.coalesce(text, F.lit("")))
+
 
 def _lists(rows: Iterable[np.ndarray]) -> pa.Array:
     parts = list(rows)
@@ -330,3 +340,15 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: s
     """
     decoded = Tokenizer(docs.sparkSession, path).decode(col(ids)).alias(text)
     return docs.select(*[col(c) for c in docs.columns if c.lower() != text.lower()], decoded)
+
+
+def round_trip_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """`docs` with token ids and the text that they decode to, encoded and decoded in one pass.
+
+    What `encode_documents` and `decode_documents` give one after the other, null and
+    empty texts, repeats, ties and very long texts included; an empty table stays empty.
+    """
+    packed = docs.select(whole_row(docs).alias("row"))
+    packed = packed.withColumn("done", Tokenizer(docs.sparkSession, path).round_trip(F.col("row").getField(text)))
+    packed = compute_once(packed, "done", F.col("done"))  # else every reader of the ids encodes anew
+    return unpacked(packed, "row", docs.columns, **{ids: F.col("done.ids"), decoded: F.col("done.decoded")})

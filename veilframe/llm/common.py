@@ -39,8 +39,30 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[col(c) for c in df.columns])
 
 
-def unpacked(df: DataFrame, row: str, names: list[str], **new: Column) -> DataFrame:
+def unpacked(df: DataFrame, row: str, names: list[str], /, **new: Column) -> DataFrame:
     """The columns of a packed row with new ones; a new one replaces its namesake."""
     taken = {n.lower() for n in new}
     kept = [F.col(row).getField(n).alias(n) for n in names if n.lower() not in taken]
     return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+
+
+class Memory:
+    """What was used of late: when the young generation is full, it becomes the old one."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bpe import NEWER
-from veilframe.llm.common import col, unpacked, whole_row
+from veilframe.llm.common import Memory, col, unpacked, whole_row
 from veilframe.operators.steps import compute_once
 
 #: A file of ranks is broadcast; none may be larger.
@@ -64,28 +64,6 @@ def _by_unicode_16(pattern: str) -> str:
     return f"{before}[{other}||[{NEWER}]]{after}"
 
 
-class Memory:
-    """What was used of late: when the young generation is full, it becomes the old one."""
-
-    def __init__(self, size: int) -> None:
-        self.size = size
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class Ranks:
     """Tokens by rank: encoding and decoding of texts."""
 

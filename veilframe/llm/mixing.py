@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,14 @@ from veilframe.llm.common import col, saved, unpacked, whole_row
 from veilframe.operators.skew import join_many_to_one
 
 SEED = "mix-1"
-#: Rates are broadcast for up to so many sources, and joined with salt for more.
-BROADCAST_SOURCES = 10_000
+#: The steps of all sources are broadcast if there are so many at most (8 MB), and joined with salt if there are more.
+BROADCAST_STEPS = 1_000_000
+#: Rates above this one are refused; a source's steps grow with the square root of its rate, to 760,000 here.
+MAX_RATE = 1e9
+#: From this rate on steps begin twelve standard deviations below it, and not at none.
+FROM_ZERO = 5_000.0
+#: Copies are numbered in two steps of so many.
+COPIES_AT_ONCE = 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -45,21 +53,35 @@ def source_rates(docs: DataFrame, targets: dict[str | None, float] | None, sourc
     return weighted.crossJoin(F.broadcast(sums)).select("source_key", (share * whole / F.col("size")).alias("rate"))  # one row of sums
 
 
+def _log_factorial(k: Column) -> Column:
+    """ln(k!) of large k, by Stirling's series."""
+    return k * F.ln(k) - k + 0.5 * F.ln(2 * math.pi * k) + 1 / (12 * k) - 1 / (360 * F.pow(k, F.lit(3)))
+
+
 def poisson_steps(rates: DataFrame) -> DataFrame:
-    """For each source the probabilities of at most 0, 1, 2 … copies, as an array.
+    """For each source (source_key, rate) `least`, and the probabilities of at most least, least + 1 … copies, as an array.
 
-    As far as the steps are above the grain of the uniform numbers.
+    As far as the steps are above the grain of the uniform numbers; of the spread of
+    a large rate, twelve standard deviations to either side.
     """
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 60).cast("int")
-    steps = rates.select("source_key", "rate", F.explode(F.sequence(F.lit(0), most)).alias("k"))
+    spread = 12 * F.sqrt("rate") + 60
+    asked = rates.select(
+        "source_key", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit(f"a document would be repeated over {MAX_RATE:.0f} times"))).otherwise(F.col("rate")).alias("rate")
+    )
+    least = F.when(F.col("rate") > FROM_ZERO, F.floor(F.col("rate") - spread)).otherwise(0)
+    most = F.ceil(F.col("rate") + spread)
+    steps = asked.select("source_key", "rate", least.alias("least"), F.explode(F.sequence(least, most)).alias("k"))
     up_to = Window.partitionBy("source_key").orderBy("k")
-    log_factorial = F.sum(F.ln(F.greatest("k", F.lit(1)))).over(up_to)
+    before = F.when(F.col("least") > 0, _log_factorial(F.col("least").cast("double"))).otherwise(0.0)
+    log_factorial = before + F.sum(F.when(F.col("k") > F.col("least"), F.ln(F.greatest("k", F.lit(1)))).otherwise(0.0)).over(up_to)
     power = F.when(F.col("k") == 0, 0.0).otherwise(F.col("k") * F.ln("rate"))
     log_p = F.when(F.col("rate") > 0, power - F.col("rate") - log_factorial).when(F.col("k") == 0, 0.0)
-    each = steps.select("source_key", "rate", "k", F.coalesce(F.exp(log_p), F.lit(0.0)).alias("p"))
-    summed = each.select("source_key", "rate", "k", F.sum("p").over(up_to).alias("c"))
-    listed = summed.groupBy("source_key").agg(F.max("rate").alias("rate"), F.sort_array(F.collect_list(F.struct("k", "c"))).alias("steps"))
-    return listed.select("source_key", "rate", F.col("steps.c").alias("steps"))
+    each = steps.select("source_key", "rate", "least", "k", F.coalesce(F.exp(log_p), F.lit(0.0)).alias("p"))
+    summed = each.select("source_key", "rate", "least", "k", F.sum("p").over(up_to).alias("c"))
+    listed = summed.groupBy("source_key").agg(
+        F.max("rate").alias("rate"), F.max("least").alias("least"), F.sort_array(F.collect_list(F.struct("k", "c"))).alias("steps")
+    )
+    return listed.select("source_key", "rate", "least", F.col("steps.c").alias("steps"))
 
 
 def mix_sources(
@@ -82,19 +104,25 @@ def mix_sources(
     Without targets, weights are the square roots of the sizes.  With targets, a
     source that is not named gets none; None names the null source.  A null id
     is replaced by the text's digest.  Rows with the same id have the same
-    number of copies.  Null and empty texts count one character.  Columns called
-    `copy` or `shuffle_key` are replaced.  An empty table stays empty.
+    number of copies.  Null and empty texts count one character; a very long text
+    travels once per copy.  Columns called `copy` or `shuffle_key` are replaced.  An
+    empty table stays empty.  A source so small that its documents would be repeated
+    over MAX_RATE times is an error.
     """
     rates = saved(poisson_steps(source_rates(docs, targets, source, text, total)), "rates")
     ident = F.coalesce(col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(col(text), F.lit("")))))
     rows = docs.select(_name(col(source)).alias("source_key"), ident.alias("ident"), whole_row(docs).alias("row"))
-    if rates.count() <= BROADCAST_SOURCES:
+    if (rates.agg(F.sum(F.size("steps") + 8)).first()[0] or 0) <= BROADCAST_STEPS:
         rated = rows.join(F.broadcast(rates), "source_key")
     else:
         rated = join_many_to_one(rows, rates, ["source_key"])
     draw = uniform(F.lit(seed), F.lit("n"), F.col("ident"))
-    drawn = rated.select("row", "ident", "steps", draw.alias("u")).select("row", "ident", F.size(F.filter("steps", lambda c: c <= F.col("u"))).alias("copies"))
-    copied = drawn.filter("copies > 0").select("row", "ident", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    copies = F.col("least") + F.size(F.filter("steps", lambda c: c <= F.col("u")))
+    drawn = rated.select("row", "ident", "steps", "least", draw.alias("u")).select("row", "ident", copies.alias("copies"))
+    tens = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_AT_ONCE}"))).alias("ten")
+    begun = drawn.filter("copies > 0").select("row", "ident", "copies", tens)
+    ones = F.sequence(F.col("ten") * COPIES_AT_ONCE + 1, F.least("copies", (F.col("ten") + 1) * COPIES_AT_ONCE))
+    copied = begun.select("row", "ident", F.explode(ones.cast("array<int>")).alias("copy"))
     keyed = copied.select("row", "copy", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "ident", "copy")).alias("shuffle_key"))
     dealt = keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return unpacked(dealt, "row", docs.columns, copy=F.col("copy"), shuffle_key=F.col("shuffle_key"))

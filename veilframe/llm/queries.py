@@ -31,9 +31,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "token_ids")
-    encoded = compute_once(encoded, "token_ids", F.col("token_ids"))  # else every reader of the ids encodes anew
-    return bpe.decode_documents(encoded, path).select(
+    return bpe.round_trip_documents(read(spark, sf_dir, "documents", "doc_id", "text"), path).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -4,6 +4,10 @@ A document is toxic if at least one of its sentences is, so its score is the
 noisy-or 1 - prod(1 - p) over its sentences' scores p.  A sentence's score is a
 logistic sum of word weights.  The weights are trained from document labels
 through the noisy-or, and then tell which sentences gave offence.
+
+Any sentence has a score above zero, and enough harmless ones would make a long
+document toxic.  So a floor is learnt too, the highest that judges next to no
+more of the sample wrong.  Sentences below it add nothing; where all are below, the worst one counts.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, unpacked, whole_row
+from veilframe.llm.common import col, saved, unpacked, whole_row
 
-#: At most so many labelled documents of either class are learnt from, each of at most so many characters.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 20_000
+#: At most so many labelled documents of either class are learnt from, whole ones, and so many characters in all.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 30_000_000
 #: Weights are learnt for words and beginnings of words in so many sampled documents.
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (4, 5)
@@ -31,6 +35,8 @@ BEGINNINGS = (4, 5)
 ROUNDS, PENALTY, REFINED = 200, 5e-5, 60
 #: Documents and sentences from this score on count as toxic.
 LEAST_SCORE = 0.5
+#: Floors that are tried, from the highest, and what part of the sample's toxic documents one may cost.
+FLOORS, FLOOR_COST = tuple(x / 4 for x in range(-4, -61, -1)), 0.01
 #: Words whose weight a worker remembers.
 REMEMBERED = 300_000
 
@@ -52,16 +58,22 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
+def _hazard(z: float) -> float:
+    """-log(1 - p) of a sentence."""
+    return math.log1p(math.exp(-abs(z))) + max(z, 0.0)
+
+
 @dataclass
 class Model:
-    """Weights of features and the sum that a sentence starts from."""
+    """Weights of features, the sum that a sentence starts from, and the sum from which on it counts."""
 
     bias: float
     weights: dict[str, float]
+    floor: float = -math.inf
     _known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_known": {}}
+        return {"bias": self.bias, "weights": self.weights, "floor": self.floor, "_known": {}}
 
     def word(self, word: str) -> float:
         known = self._known.get(word)
@@ -76,11 +88,14 @@ class Model:
         total, found, best = 0.0, [], None
         for start, end, words in sentences(text):
             z = self.bias + sum(map(self.word, sorted(words)))
-            total += math.log1p(math.exp(-abs(z))) + max(z, 0.0)  # -log(1 - p)
+            if z >= self.floor:
+                total += _hazard(z)
             if best is None or z > best[2]:
                 best = (start, end, z)
             if z >= 0:
                 found.append((start, end, z))
+        if best is not None and best[2] < self.floor:
+            total = _hazard(best[2])
         score = -math.expm1(-total)
         if score >= LEAST_SCORE and not found:
             found = [best]
@@ -133,16 +148,33 @@ def train(texts: list[str], labels: list[int], weights: list[float]) -> Model:
             w = np.where(free, np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0), 0.0)
             b -= rate * (mb / c) / (math.sqrt(vb / e) + 1e-8)
         free = w != 0
-    return Model(float(b), {f: float(w[i]) for f, i in index.items() if w[i]})
+    z = b + np.bincount(at, w[word], minlength=n_sentences)
+    return Model(float(b), {f: float(w[i]) for f, i in index.items() if w[i]}, _floor(z, doc_of, y, share))
+
+
+def _floor(z: np.ndarray, doc_of: np.ndarray, y: np.ndarray, share: np.ndarray) -> float:
+    """The highest floor under which sentences can be left out with next to no more documents of the sample judged wrong."""
+    hazards = np.logaddexp(0, z)
+    worst = np.zeros(len(y))
+    np.maximum.at(worst, doc_of, hazards)
+
+    def wrong(floor: float) -> float:
+        total = np.bincount(doc_of, np.where(z >= floor, hazards, 0.0), minlength=len(y))
+        score = -np.expm1(-np.where(total > 0, total, worst))
+        return float(share[(score >= LEAST_SCORE) != (y == 1)].sum())
+
+    allowed = wrong(-math.inf) + FLOOR_COST * float(share[y == 1].sum())
+    return next((f for f in FLOORS if wrong(f) <= allowed), -math.inf)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on a bounded sample of the documents that have a label.
 
     Of either class those ids with the smallest hashes are taken, up to
-    SAMPLE_TOXIC and SAMPLE_CLEAN, and weighted to the shares of the classes; texts
-    of over SAMPLE_CHARS characters are left out.  Null ids, texts and labels and
-    labels other than 0 and 1 are not learnt from.
+    SAMPLE_TOXIC and SAMPLE_CLEAN, and weighted to the shares of the classes.  Texts are
+    learnt from whole, short and long ones alike, as many as make SAMPLE_CHARS
+    characters in the order of the hashes.  Null ids, texts and labels and labels
+    other than 0 and 1 are not learnt from.
     """
     known = labels.select(col(doc_id).alias("id"), col(label).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -152,9 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         hashed = known.filter(F.col("y") == y).withColumn("h", F.xxhash64("id"))
         picked.append(hashed.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 4096))).orderBy("h").limit(most))
     sample = picked[0].union(picked[1]).select("id", "y")
-    rows = docs.select(col(doc_id).alias("id"), col(text).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    rows = docs.select(col(doc_id).alias("id"), col(text).alias("t")).filter("t is not null")
     # one row for each label, however often an id repeats: at most SAMPLE_TOXIC + SAMPLE_CLEAN
-    taken = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()
+    rows = rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("t").alias("t"))
+    rows = saved(rows.select("id", "y", "t", F.xxhash64("id").alias("h")), "sample")
+    last, size = None, 0
+    for r in rows.select("h", F.length("t").alias("n")).orderBy("h", "n").collect():
+        size += r.n
+        if last is not None and size > SAMPLE_CHARS:
+            break
+        last = r.h
+    taken = [] if last is None else rows.filter(F.col("h") <= last).collect()
     taken.sort(key=lambda r: (r.y, r.t))
     used = Counter(r.y for r in taken)
     return train([r.t for r in taken], [r.y for r in taken], [counts[r.y] / used[r.y] for r in taken])
@@ -176,8 +216,9 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     """`docs` with `score`, `predicted` (1 from LEAST_SCORE on) and `sentences`,
     the offending ones by (start, end, score) in code points, end exclusive.
 
-    A text without words, null and empty ones too, has no sentence and scores 0.
-    Rows, repeats and other columns stay; columns called like the new ones are replaced.
+    A text without words, null and empty ones too, has no sentence and scores 0; an
+    empty table stays empty.  A text is scored whole, however long; equal texts score
+    alike.  Rows, repeats and other columns stay; columns called like the new ones are replaced.
     """
     rows = docs.select(whole_row(docs).alias("row"), judge(col(text), model).alias("found"))
     score = F.col("found.score")

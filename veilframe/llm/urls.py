@@ -17,8 +17,6 @@ from veilframe.llm.common import col, saved, unpacked, whole_row
 
 #: (verdict, host, path) in a CASE expression; longer lists belong in a table.
 MAX_RULES = 500
-#: Segments from this one on are taken together.
-MAX_DEPTH = 8
 #: A node's children are generalised if there are so many and they have fewer addresses each.
 LEAST_CHILDREN, MOST_EACH = 20, 4
 #: Branches are merged up to this Jensen-Shannon divergence in bits (with allowance
@@ -29,6 +27,9 @@ ASSUMED, ASSUMED_BAD = 4.0, 2.0
 #: Templates from this purity on are rejected.
 LEAST_PURITY = 0.8
 
+#: Segments that are wildcards already.
+VARIABLE = r"^(<[nh]>.*|\*)$"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,7 +62,7 @@ def shape(path: Column) -> Column:
     """The segments of a path, those that look variable as wildcards.
 
     Numbers and long hexadecimal names are `<n>` and `<h>`, with the ending of a
-    file kept.  Empty segments are left out; from MAX_DEPTH on all is `**`.
+    file kept.  Empty segments are left out.
     """
     def general(s: Column) -> Column:
         ending = F.regexp_extract(s, r"(\.[A-Za-z][A-Za-z0-9]{0,4})$", 1)
@@ -72,14 +73,13 @@ def shape(path: Column) -> Column:
             .otherwise(s)
         )
 
-    parts = F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
-    return F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), general)
 
 
 def _generalised(nodes: DataFrame, level: int) -> DataFrame:
     """Children of nodes with many rare ones become `*` at one level."""
     at = nodes.withColumn("parent", F.array_join(F.slice("now", 1, level - 1), "/")).withColumn("seg", F.get("now", F.lit(level - 1)))
-    literal = F.col("seg").isNotNull() & ~F.col("seg").rlike(r"^(<[nh]>.*|\*{1,2})$")
+    literal = F.col("seg").isNotNull() & ~F.col("seg").rlike(VARIABLE)
     children = at.filter(literal).groupBy("host", "parent", "seg").agg(F.sum("n").alias("n"))
     open_ended = children.groupBy("host", "parent").agg(F.count("*").alias("c"), F.sum("n").alias("n")).filter((F.col("c") >= LEAST_CHILDREN) & (F.col("n") < MOST_EACH * F.col("c")))
     marked = at.join(saved(open_ended.select("host", "parent", F.lit(True).alias("open")), "open-nodes"), ["host", "parent"], "left")
@@ -99,7 +99,7 @@ def _merged(nodes: DataFrame, level: int) -> DataFrame:
     """
     at = nodes.withColumns({
         "parent": F.array_join(F.slice("now", 1, level - 1), "/"), "seg": F.get("now", F.lit(level - 1)),
-        "tail": F.array_join(F.slice("now", level + 1, MAX_DEPTH), "/"),
+        "tail": F.array_join(F.slice("now", F.lit(level + 1), F.size("now")), "/"),
     }).filter(F.col("seg").isNotNull())
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     branches = saved(at.groupBy("host", "parent", "seg", "tail").agg(*sums), "branches")
@@ -129,7 +129,7 @@ def _merged(nodes: DataFrame, level: int) -> DataFrame:
         (F.col("all") > F.col("b_n"))
         & (F.col("divergence") <= MOST_DIVERGENCE + F.col("tails") / (2 * F.col("b_n")))
         & (apart("labelled", "n") <= MOST_ERRORS) & (apart("bad", "labelled") <= MOST_ERRORS)
-        & ~F.col("seg").rlike(r"^(<[nh]>.*|\*{1,2})$")
+        & ~F.col("seg").rlike(VARIABLE)
     )
     marks = saved(alike.select("host", "parent", "seg", F.lit(True).alias("alike")), "alike")
     rows = nodes.withColumns({"parent": F.array_join(F.slice("now", 1, level - 1), "/"), "seg": F.get("now", F.lit(level - 1))})
@@ -137,15 +137,25 @@ def _merged(nodes: DataFrame, level: int) -> DataFrame:
     return saved(rows.join(marks, ["host", "parent", "seg"], "left").select("host", "shape", now.alias("now"), "n", "labelled", "bad"), "nodes")
 
 
+def _busy(nodes: DataFrame) -> list[int]:
+    """Levels at which some host has segments to be told apart, in order.
+
+    Where all of a host's addresses agree, or no other one goes so deep, nothing can
+    be generalised or merged; a lone deep path costs no rounds.
+    """
+    segments = nodes.select("host", F.posexplode("shape").alias("at", "seg")).groupBy("host", "at").agg(F.min("seg").alias("a"), F.max("seg").alias("b"))
+    return sorted(r.at + 1 for r in segments.filter("a <> b").select("at").distinct().collect())
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """(host, shape, template, purity) from host, shape (array) and `bad` (null: not labelled)."""
     nodes = saved(urls.groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bad")
     ).withColumn("now", F.col("shape")), "nodes")
-    depth = nodes.agg(F.max(F.size("shape"))).first()[0] or 0
-    for level in range(1, depth + 1):
+    levels = _busy(nodes)
+    for level in levels:
         nodes = _generalised(nodes, level)
-    for level in range(depth, 0, -1):
+    for level in reversed(levels):
         nodes = _merged(nodes, level)
     named = nodes.withColumn("template", F.concat(F.lit("/"), F.array_join("now", "/")))
     judged = named.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
