@@ -58,9 +58,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text (null: none), in `token_ids`, and their number in `n_tokens`, beside id, language and source."""
-    encoded = bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
-    return encoded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"))
+    """Token ids of each text, in `token_ids`, their number in `n_tokens`, and in `text` what they
+    decode to, beside id, language and source.
+
+    Null and empty texts have no ids and decode to an empty text; an empty table stays empty.
+    """
+    done = bpe.round_trip_documents(docs, public_tokenizers.path(TOKENIZER), decoded="text")
+    return done.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "text")
 
 
 #: Name and function of each stage; each gets what the one before returned, written and read again.
@@ -69,7 +73,7 @@ STAGES = [
     ("line dedup", drop_repeated_lines),
     ("SimHash near-dedup", drop_near_duplicates),
     ("mixing sources", mix),
-    ("BPE encoding", tokenize),
+    ("BPE encoding and decoding", tokenize),
 ]
 #: Sentence scores, components and merges are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
