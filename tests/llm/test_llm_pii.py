@@ -60,6 +60,15 @@ def test_query_digests(spark):
 @pytest.mark.parametrize(("text", "kinds"), [
     ("DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432", ["iban", "iban"]),
     ("DE88 3704 0044 0532 0130 00", []),
+    ("BE68 5390 0754 7034 BANK", ["iban"]),
+    ("NO93 8601 1117 947 AND FR14 2004 1010 0505 0001 3M02 606", ["iban", "iban"]),
+    ("DE89370400440532013000X", []),
+    ("ZZ68 5390 0754 7034", []),
+    ('token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"', ["secret"]),
+    ("commit 4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", []),
+    ("api_key: AKzb4Qw9+/XyTr82LmPq==", ["secret"]),
+    ("token aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", []),
+    ("the token ofaverylongwordwithoutanynumbers", []),
     ("my SSN is 123-45-6789", ["ssn"]),
     ("part 123-45-6789", []),
     ("Passport AB1234567 and lot AB1234567", ["passport", "passport"]),
@@ -93,3 +102,23 @@ def test_edges(edge_rows, no_rows):
     rows = pii.find_personal_data(edge_rows).collect()
     assert len(rows) == edge_rows.count() and all(base(r) == brute(r.text) for r in rows) and rows[0]["a.b"] in (None, "dot")
     assert pii.find_personal_data(no_rows).count() == 0
+
+
+def test_secrets_of_the_table(spark):
+    """The planted lines are found, and nothing else is called a secret."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {(r.doc_id, m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    found = {(r.doc_id, s.start, s.end) for r in pii.find_personal_data(docs).collect() for s in r.pii if s.kind == "secret"}
+    assert found == want and want
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("a@b.co", 1, 2)], ["te`xt", "a`b", "c.d"])
+    (row,) = pii.find_personal_data(df, text="te`xt").collect()
+    assert [s.kind for s in row.pii] == ["email"] and (row["a`b"], row["c.d"]) == (1, 2)
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["token " + "a1B2" * 100_000, "DE89" * 50_000, "DE89 " * 50_000, "A" * 300_000]
+    rows = pii.find_personal_data(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [len([s for s in r.pii if s.kind == "secret"]) for r in sorted(rows, key=lambda r: texts.index(r.text))] == [0, 0, 0, 0]

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import unpacked, whole_row
+from veilframe.llm.common import col, unpacked
 from veilframe.operators.steps import compute_once
 
 #: Spans of an added kind are kept from this score on.
 LEAST_SCORE = 0.5
+#: Shannon entropy of a secret's characters; 40 random hexadecimal digits have about 3.7.
+LEAST_BITS = 3.0
 #: A context word within so many characters of a span adds so much.
 NEAR, CONTEXT_GAIN = 40, 0.4
 #: Pieces of a text (matches have 5 characters or more) that hold NEAR characters for sure.
@@ -51,6 +53,19 @@ def mod_97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
 
 
+def varied(secret: Column) -> Column:
+    """Does a string look drawn at random: letters and digits mixed, LEAST_BITS of entropy by character?"""
+    size = F.length(secret).cast("double")
+
+    def weigh(total: Column, c: Column) -> Column:
+        share = (size - F.length(F.replace(secret, c, F.lit("")))) / size
+        return total - share * F.log2(share)
+
+    # two classes first: long words of letters need no count
+    mixed = secret.rlike("[0-9]") & secret.rlike("[A-Za-z]")
+    return F.when(mixed, F.aggregate(F.array_distinct(F.split(secret, "")), F.lit(0.0), weigh) >= LEAST_BITS).otherwise(F.lit(False))
+
+
 def _between(n: Column, low: int, high: int) -> Column:
     return (n >= low) & (n <= high)
 
@@ -77,6 +92,25 @@ class Kind:
     base: bool = False
 
 
+#: Fixed values of the IBAN registry: countries by the length of their numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """As many characters as the country's numbers have, in fours, so that the word after a number is not taken."""
+    ways = []
+    for length, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = rf"(?:\x20?[A-Z0-9]{{{rest}}})" if rest else ""
+        ways.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+
+
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: The base kinds in the order of the report, then those that the method adds.
 KINDS = (
@@ -87,10 +121,7 @@ KINDS = (
         lambda m: _between(F.length(digits(m)), 12, 19) & luhn(m), base=True, context="card|visa|karte|carte|tarjeta|credit|kredit",
     ),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, lambda m: _between(F.length(digits(m)), 9, 15), hint="+", base=True, context="tel|phone|call|mobil|fax"),
-    Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8,
-        lambda m: _between(F.length(F.replace(m, F.lit(" "), F.lit(""))), 15, 34) & mod_97(m), context="iban|account|konto|compte|cuenta|bank",
-    ),
+    Kind("iban", _iban_pattern(), 0.8, mod_97, context="iban|account|konto|compte|cuenta|bank"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, context="ssn|social security", hint="-"),
     Kind("passport", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", 0.2, context="passport|reisepass|passeport|pasaporte"),
     Kind(
@@ -101,6 +132,10 @@ KINDS = (
         "birth_date", r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9])", 0.2,
         context=r"\bborn\b|birth|\bdob\b|geboren|geburts|\bnée?\b|naissance|nacid|nacimiento",
     ),
+    Kind(
+        "secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}+", 0.2, varied,
+        context=r"token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passwor|passwd|credential|bearer|authorization",
+    ),
 )
 
 
@@ -173,12 +208,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", kinds: tuple[Kind, .
     overlap.  A match that fails its check is dropped and not tried again from
     further on.
 
-    Null and empty texts have an empty array.  Rows and repeats stay.  `keep`
+    Null and empty texts have an empty array, an empty table stays empty, and very
+    long texts are searched whole, in time linear in them.  Rows and repeats stay.  `keep`
     names the columns to be carried along (by default all); one called `pii` is
     replaced.
     """
     names = docs.columns if keep is None else keep
-    slim = docs.select(whole_row(docs.select(*[F.col(f"`{n}`") for n in names])).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    slim = docs.select(F.struct(*[col(n) for n in names]).alias("row"), F.coalesce(col(text), F.lit("")).alias("t"))
     found = compute_once(slim, "found", F.struct(*[_matches(F.col("t"), k).alias(k.name) for k in kinds])).drop("t")
 
     def lengths(k: Kind) -> Column:

@@ -83,7 +83,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def n(kind: str):
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"))
+    return found.select(
+        "doc_id", *map(n, ("email", "ip", "card", "phone")), F.sha2(pii.report(base), 256).alias("base_sha256"), pii.report(F.col("pii")).alias("spans"),
+        *map(n, ("iban", "secret")), F.size("pii").cast("long").alias("n_spans"),
+    )
 
 
 @query
