@@ -73,3 +73,27 @@ def test_edges(spark, edge_rows, no_rows):
         path = workspace(spark, "warc-test")
         warc.write_warc(df, path)
         assert warc.read_warc(spark, path).count() == df.count()
+
+
+def test_dictionary_from_different_pages(spark):
+    """Copies do not crowd out the sample, and few pages are cut up."""
+    rng = random.Random(7)
+    few = [f"<html>{i}" + " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(99)) for _ in range(300)) for i in range(5)]
+    rows = [(i, "u", few[0 if i % 3 else i % 5], None) for i in range(3000)]
+    words = warc.build_dictionary(pages(spark, rows), "html")
+    assert words[:4] == struct.pack("<I", warc.DICTIONARY) and words == warc.build_dictionary(pages(spark, [(0, "u", t, None) for t in few]), "html")
+    with pytest.warns(UserWarning, match="too little"):
+        assert warc.train([b"x" * 50]) == b""
+    assert warc.build_dictionary(pages(spark, []), "html") == b""
+
+
+def test_archives_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 70_000)
+    rng = random.Random(9)
+    rows = [(i, "u", "".join(chr(rng.randrange(33, 1000)) for _ in range(rng.choice([10, 3000, 40_000]))), None) for i in range(60)]
+    path = workspace(spark, "warc-test")
+    warc.write_warc(pages(spark, rows).coalesce(2), path)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    assert len(files) > 8 and max(map(len, files)) < 70_000 + 80_000
+    assert all(struct.unpack_from("<I", f)[0] == warc.DICTIONARY_FRAME for f in files)
+    assert sorted((int(r.page_id), r.payload.decode()) for r in warc.read_warc(spark, path).collect()) == sorted((i, t) for i, _, t, _ in rows)

@@ -4,7 +4,7 @@ An archive is a series of Zstandard frames: a skippable frame with the
 dictionary first, then a frame for each record.  Spark's text writer puts the
 frames into files, so any store that Spark writes to will do and a retried task
 leaves no half archive.  Its line separator is an empty skippable frame, which
-decoders pass over.
+decoders pass over.  Each row of the writer is a whole archive of bounded size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+import warnings
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote, unquote
 
@@ -31,6 +32,10 @@ SEPARATOR = struct.pack("<II", SKIPPABLE, 0)
 LEAST_REVISIT = 100
 #: The dictionary: its size, and at most so many records of at most so many characters to learn from.
 DICTIONARY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS = 64 << 10, 1000, 50_000
+#: Lengths of the pieces that records are cut into where they are too few to learn from whole.
+PIECES = (1024, 128)
+#: An archive is closed once it has so many bytes; a reader holds one archive at a time.
+ARCHIVE_BYTES = 32 << 20
 #: Compressed bytes that the reader looks at at a time.
 STEP = 16 << 10
 #: Fixed value of the format: the profile of a record that refers to an equal payload.
@@ -80,22 +85,36 @@ def parse(data: bytes) -> dict:
     }
 
 
+def train(samples: list[bytes]) -> bytes:
+    """A dictionary from records; where they are few, from ever shorter pieces of them.
+
+    Empty, with a warning, where even those are too few: a short record on its own.
+    """
+    for size in (None, *PIECES):
+        pieces = samples if size is None else [s[i : i + size] for s in samples for i in range(0, len(s), size)]
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=3).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    if samples:
+        warnings.warn(f"{len(samples)} different pages are too little to learn a dictionary from; the archives have none", stacklevel=2)
+    return b""
+
+
 def build_dictionary(pages: DataFrame, html: str) -> bytes:
-    """A dictionary from a bounded sample of records; empty where they are too few.
+    """A dictionary from a bounded sample of different records.
 
-    The sample is up to SAMPLE_ROWS pages with small hashes among those of up to
-    SAMPLE_CHARS characters, the same on every run.  The hash is first held
-    against a share of the table, so that sorting meets few pages however
-    large the table is.
+    The sample is up to SAMPLE_ROWS different pages with small hashes among those of up
+    to SAMPLE_CHARS characters, the same on every run and however often a page is there.
+    The hash is first held against a share of the different pages, so that sorting meets
+    few of them however large the table is.
     """
     fitting = pages.select(col(html).alias("t")).filter(F.length("t").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("t"))
-    share = min(1.0, 4 * SAMPLE_ROWS / max(1, pages.count()))
-    some = fitting.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 4096))).orderBy("h", "t").limit(SAMPLE_ROWS)
-    samples = [record("0", "http://example.com/", r.t.encode(), "0" * 64, None, "2000-01-01T00:00:00Z") for r in some.collect()]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes() if len(samples) >= 10 else b""
-    except zstandard.ZstdError:
-        return b""
+    distinct = fitting.agg(F.approx_count_distinct("h").alias("n")).first().n
+    share = min(1.0, 4 * SAMPLE_ROWS / max(1, distinct))
+    some = fitting.filter(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 4096)))
+    chosen = some.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(SAMPLE_ROWS)
+    return train([record("0", "http://example.com/", r.t.encode(), "0" * 64, None, "2000-01-01T00:00:00Z") for r in chosen.collect()])
 
 
 def write_warc(
@@ -110,7 +129,8 @@ def write_warc(
     smallest id, and where equal payloads have no id at all, all are responses.
     Bytes of an address that a header can't hold are percent-encoded; a null
     address leaves its header out.  Other columns are not archived.
-    An empty table gives a folder without records.
+    An archive ends with the record that takes it to ARCHIVE_BYTES; a page must fit in
+    a row, as it does in `pages`.  An empty table gives a folder without records.
     """
     words = build_dictionary(pages, html)
     opening = struct.pack("<II", DICTIONARY_FRAME, len(words)) + words
@@ -124,18 +144,22 @@ def write_warc(
         F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first")).cast("string").alias("first"),
     )
 
-    def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        begun = not words
+        frames = [opening] if words else []
+        empty = size = sum(map(len, frames))
         for batch in batches:
-            if batch.num_rows and not begun:
-                begun = True
-                yield pa.record_batch([pa.array([opening], pa.binary())], ["frame"])
-            packed = [packer.compress(record(*[v.as_py() for v in row], date)) for row in zip(*batch.columns)]
-            yield pa.record_batch([pa.array(packed, pa.binary())], ["frame"])
-
-    made = referring.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", SEPARATOR.decode("ascii")).text(path)
+            for row in zip(*batch.columns):
+                frames.append(packer.compress(record(*[v.as_py() for v in row], date)))
+                size += len(frames[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield pa.record_batch([pa.array([b"".join(frames)], pa.binary())], ["archive"])
+                    frames, size = frames[:1] if words else [], empty
+        if size > empty:
+            yield pa.record_batch([pa.array([b"".join(frames)], pa.binary())], ["archive"])
+
+    made = referring.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    made.write.option("lineSep", SEPARATOR.decode("ascii")).option("maxRecordsPerFile", 1).text(path)
 
 
 def unpack(archive: bytes) -> Iterator[bytes]:
