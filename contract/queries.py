@@ -28,7 +28,7 @@ from veilframe.operators.steps import spread
 from veilframe.plans.detect import detect_documents, detect_jobs, detect_long_documents
 from veilframe.plans.service import DetectionService
 from veilframe.plans.transform import transform_documents, transform_long_documents
-from veilframe.sources import catalogue, documents, long_files, messages, results, weights
+from veilframe.sources import catalogue, documents, long_files, message_log, messages, results, weights
 from veilframe.sources.jobs import job_requests
 from veilframe.streaming import detect as stream_detect
 from veilframe.streaming import jobs as stream_jobs
@@ -644,6 +644,21 @@ def stream_detect_regex(t):
     return general.select("job_id", "chunk_idx", "f.type", joined(F.col("f.matches"), "matches"))
 
 
+@query
+def stream_message_log(t):
+    """The tasks through the log: a stream writes them, another reads them."""
+    base = workspace(t.spark, "log")
+    message_log.register_message_log(t.spark)
+    results.write_results(task_messages(t).repartition(4, "job_id"), f"{base}/in", "json")
+    tasks = messages.as_messages(messages.read_message_stream(t.spark, f"{base}/in", max_files=2))
+    into = tasks.writeStream.format("message_log").option("path", f"{base}/log").option("checkpointLocation", f"{base}/in-check")
+    into.trigger(availableNow=True).start().awaitTermination()
+    logged = t.spark.readStream.format("message_log").option("path", f"{base}/log").load()
+    results.write_result_stream(logged, f"{base}/out", f"{base}/out-check", once=True).awaitTermination()
+    columns = ["job_id", "service", "action", "chunk_idx", "total_chunks", "text", "methods", "countries"]
+    return t.spark.read.parquet(f"{base}/out").select(*columns)
+
+
 @query
 def stream_detect_ml(t):
     base = workspace(t.spark, "tasks")
