@@ -1,5 +1,6 @@
 import random
 import re
+from collections import defaultdict
 
 from veilframe.llm import urls
 from veilframe.llm.queries import QUERIES, RULES
@@ -28,6 +29,30 @@ def test_whole_table(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or ("block" if r.purity >= urls.LEAST_PURITY else "allow"))
 
 
+def test_labels_come_from_the_text(spark):
+    """On the given pages the number in the address is that of the document shown."""
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents", "labels")}
+    docs = tables["documents"].join(tables["labels"], "doc_id").selectExpr("text", "int(quality = 0 or toxic = 1) as bad")
+    said, text = defaultdict(list), {r.doc_id: r.text for r in tables["documents"].collect()}
+    same = lambda t: " ".join(re.findall(r"[^\W_]+", t or ""))
+    for r in tables["labels"].collect():
+        said[same(text.get(r.doc_id))].append(int(r.quality == 0 or r.toxic == 1))
+    got = urls.with_labels(tables["pages"], docs).collect()
+    assert len(got) == tables["pages"].count() and sum(r.bad is not None for r in got) > len(got) / 10
+    for r in got:
+        number = re.search(r"/([0-9]+)", r.url.split("://")[1])
+        assert r.bad == max(said.get(same(text[int(number[1])]), [None]), key=lambda b: -1 if b is None else b)
+
+
+def test_labels_of_odd_pages(spark, edge_rows, no_rows):
+    pages = spark.createDataFrame([(None, 9), ("", 9), ("<p>", 9), ("<b>A&amp;B</b> c", 9), ("<script>x</script><article><h1>T</h1>a, b<!-- z --> c", 9), ("d", 9)] * 2, "html string, bad int")
+    docs = spark.createDataFrame([("A b&c", 0), ("A B c", 0), ("a b c.", 1), ("a b c", 0), ("a b c", None), (None, 1), ("...", 1)], "text string, bad int")
+    assert sorted(((r.html, r.bad) for r in urls.with_labels(pages, docs).collect()), key=str) == sorted(
+        2 * [(None, None), ("", None), ("<p>", None), ("<b>A&amp;B</b> c", 0), ("<script>x</script><article><h1>T</h1>a, b<!-- z --> c", 1), ("d", None)], key=str
+    )
+    assert urls.with_labels(edge_rows, docs).count() == edge_rows.count() and urls.with_labels(no_rows, docs).count() == 0
+
+
 def test_odd_addresses(spark):
     odd = [None, "", "http:/x", "://", "a://B.NET", "a://b.net/", "a://Ünet/ÄB?x://y", "x://net/a#?", "a://b://c/d", "h://my.example.net/en/x?y", "h://xexample.com/de/", "h://org/fr/", "h://a.b.example.com/de/\nz"]
     rows = urls.judge_urls(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string"), RULES).collect()

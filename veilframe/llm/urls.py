@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, saved, unpacked, whole_row
+from veilframe.llm.common import col, row_key, saved, unpacked, whole_row
+from veilframe.operators.skew import join_many_to_one
 
 #: (verdict, host, path) in a CASE expression; longer lists belong in a table.
 MAX_RULES = 500
@@ -163,6 +164,47 @@ def templates(urls: DataFrame) -> DataFrame:
     return saved(named.select("host", "shape", "template").join(purity, ["host", "template"]).select("host", "shape", "template", "purity"), "templates")
 
 
+#: Entities of HTML; the ampersand comes last, as its own may spell another.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def page_text(html: Column) -> Column:
+    """The text of a page's article: what follows its heading, or all where it has none, without markup."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1\s*>|<!--.*?-->", " ")
+    article = F.regexp_extract(bare, r"(?is)<article\b[^>]*>(?:\s*<h1\b.*?</h1>)?(.*?)(?:</article>|$)", 1)
+    plain = F.regexp_replace(F.when(article == "", bare).otherwise(article), "<[^>]*>", " ")
+    for entity, char in ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return plain
+
+
+def only_words(text: Column) -> Column:
+    """A text's runs of letters and digits, one space between them; empty for null."""
+    return F.coalesce(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit(""))
+
+
+def with_labels(
+    pages: DataFrame, docs: DataFrame, html: str = "html", text: str = "text", bad: str = "bad", name: str = "bad", keep: list[str] | None = None
+) -> DataFrame:
+    """`pages` with the label of the document that has the same words, null where none has.
+
+    `docs` has texts and their labels (1 bad, 0 good; null ones don't count).  Of equal
+    texts one that is bad makes all bad.  Texts are compared whole, by 128 bits of their
+    words; pages and documents without letters and digits have no label.  Rows and
+    repeats stay, an empty table stays empty.  `keep` names the columns to be carried
+    along (by default all); one called like the new one is replaced.
+
+    Pages are counted by their words before they meet the labels, and a text that very
+    many pages have is spread over tasks.
+    """
+    names = pages.columns if keep is None else keep
+    said = docs.select(only_words(col(text)).alias("words"), col(bad).cast("int").alias("bad")).filter("words <> '' and bad is not null")
+    labelled = said.select(row_key(F.col("words")).alias("key"), "bad").groupBy("key").agg(F.max("bad").alias("bad"))
+    keyed = saved(pages.select(F.struct(*[col(n) for n in names]).alias("row"), row_key(only_words(page_text(col(html)))).alias("key")), "keyed-pages")
+    known = saved(keyed.groupBy("key").agg(F.lit(1).alias("one")).join(labelled, "key", "left").select("key", "bad"), "text-labels")
+    return unpacked(join_many_to_one(keyed, known, ["key"]), "row", names, **{name: F.col("bad")})
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], url: str = "url", labels: str | None = None) -> DataFrame:
     """`pages` with host, path, rule, verdict, template and purity.
 
