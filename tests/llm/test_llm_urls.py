@@ -53,6 +53,33 @@ def test_labels_of_odd_pages(spark, edge_rows, no_rows):
     assert urls.with_labels(edge_rows, docs).count() == edge_rows.count() and urls.with_labels(no_rows, docs).count() == 0
 
 
+def test_labels_by_id(spark):
+    pages = spark.createDataFrame([("a b",), ("c",), ("d",), (None,)], "html string")
+    docs = spark.createDataFrame([(1, "a, b"), (2, "a b!"), (3, "c"), (3, "c"), (None, "d"), (5, "d")], "n long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, None), (3, 0), (None, 1), (9, 1)], "n long, bad int")
+    got = urls.with_labels(pages, docs, labels=labels, on="n").collect()
+    assert sorted(((r.html, r.bad) for r in got), key=str) == sorted([("a b", 1), ("c", 0), ("d", None), (None, None)], key=str)
+
+
+def test_texts_do_not_travel_to_their_labels(spark, monkeypatch):
+    """What is dealt out by a key holds no text, so the shuffle does not grow with the texts."""
+    plans, save = [], urls.saved
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return save(df, name)
+
+    monkeypatch.setattr(urls, "saved", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["op2_urls"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [given for plan in plans for given in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert any("key#" in given for given in dealt) and not any(re.search(r"\b(text|words|html)#", given) for given in dealt)
+
+
 def test_odd_addresses(spark):
     odd = [None, "", "http:/x", "://", "a://B.NET", "a://b.net/", "a://Ünet/ÄB?x://y", "x://net/a#?", "a://b://c/d", "h://my.example.net/en/x?y", "h://xexample.com/de/", "h://org/fr/", "h://a.b.example.com/de/\nz"]
     rows = urls.judge_urls(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string"), RULES).collect()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import col, row_key, saved, unpacked, whole_row
 from veilframe.operators.skew import join_many_to_one
+from veilframe.operators.steps import compute_once
 
 #: (verdict, host, path) in a CASE expression; longer lists belong in a table.
 MAX_RULES = 500
@@ -184,11 +185,13 @@ def only_words(text: Column) -> Column:
 
 
 def with_labels(
-    pages: DataFrame, docs: DataFrame, html: str = "html", text: str = "text", bad: str = "bad", name: str = "bad", keep: list[str] | None = None
+    pages: DataFrame, docs: DataFrame, html: str = "html", text: str = "text", bad: str = "bad", name: str = "bad", keep: list[str] | None = None,
+    labels: DataFrame | None = None, on: str = "doc_id",
 ) -> DataFrame:
     """`pages` with the label of the document that has the same words, null where none has.
 
-    `docs` has texts and their labels (1 bad, 0 good; null ones don't count).  Of equal
+    `docs` has texts and their labels (1 bad, 0 good; null ones don't count), or `labels`
+    has them by `on`, a column of both; only 128 bits of a text meet them then.  Of equal
     texts one that is bad makes all bad.  Texts are compared whole, by 128 bits of their
     words; pages and documents without letters and digits have no label.  Rows and
     repeats stay, an empty table stays empty.  `keep` names the columns to be carried
@@ -198,8 +201,14 @@ def with_labels(
     many pages have is spread over tasks.
     """
     names = pages.columns if keep is None else keep
-    said = docs.select(only_words(col(text)).alias("words"), col(bad).cast("int").alias("bad")).filter("words <> '' and bad is not null")
-    labelled = said.select(row_key(F.col("words")).alias("key"), "bad").groupBy("key").agg(F.max("bad").alias("bad"))
+    label = col(bad).cast("int").alias("bad")
+    texts = docs.select(label if labels is None else col(on).alias("on"), col(text).alias("words"))
+    if labels is None:
+        texts = texts.filter("bad is not null")
+    said = compute_once(texts, "words", only_words(F.col("words"))).filter("words <> ''").withColumn("key", row_key(F.col("words"))).drop("words")
+    if labels is not None:
+        said = said.join(labels.select(col(on).alias("on"), label).filter("bad is not null"), "on")
+    labelled = said.groupBy("key").agg(F.max("bad").alias("bad"))
     keyed = saved(pages.select(F.struct(*[col(n) for n in names]).alias("row"), row_key(only_words(page_text(col(html)))).alias("key")), "keyed-pages")
     known = saved(keyed.groupBy("key").agg(F.lit(1).alias("one")).join(labelled, "key", "left").select("key", "bad"), "text-labels")
     return unpacked(join_many_to_one(keyed, known, ["key"]), "row", names, **{name: F.col("bad")})
