@@ -86,10 +86,11 @@ def read_text_documents(t):
 def read_chunks(t):
     path = workspace(t.spark, "files")
     crlf = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))
-    one_file = t.read("documents").repartition("lang").sortWithinPartitions("lang", "doc_id")
-    one_file.select("lang", crlf.alias("text")).write.partitionBy("lang").text(path)
-    chunks = long_files.read_chunks(t.spark, path, "*.txt", CHUNK, OVERLAP)
-    lang = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+    # one text per language, in parts: no task holds a language
+    in_order = t.read("documents").repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    in_order.select("lang", crlf.alias("text")).write.partitionBy("lang").text(path)
+    chunks = long_files.read_chunks(t.spark, path, "*.txt", CHUNK, OVERLAP, parts=True)
+    lang = F.regexp_extract("path", "lang=([^/]*)$", 1).alias("lang")
     return chunks.select(lang, "chunk_idx", "total_chunks", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 

@@ -1,10 +1,13 @@
 """Files read in splits give the chunks of files read whole."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from veilframe.operators.chunking import chunk_documents
 from veilframe.sources.documents import read_text_documents
 from veilframe.sources.long_files import read_chunks, read_lines
@@ -65,6 +68,54 @@ def test_lines_come_from_many_splits(spark, folder, small_splits):
     assert _lines(spark, folder, "mixed-*.txt").select("path", "block").distinct().count() > 30
 
 
+@pytest.mark.parametrize("size, overlap", [(100, 20), (1000, 0), (10**6, 10)])
+def test_a_folder_of_parts_is_one_text(spark, tmp_path, small_splits, size, overlap):
+    rng = random.Random(5)
+    for name in ("a", "b"):
+        parts = ["".join(rng.choice(["word ", "é日😀", "\n", "\r\n", "\r", "\n\n"]) for _ in range(rng.choice([3, 900]))) + rng.choice(["\n", "\r\n"]) for _ in range(5)]
+        parts[0] = "\ufeff" + parts[0]
+        (tmp_path / "parts" / name).mkdir(parents=True)
+        (tmp_path / "files").mkdir(exist_ok=True)
+        for i, part in enumerate(parts):
+            (tmp_path / "parts" / name / f"part-{i:05d}.txt").write_bytes(part.encode())
+        (tmp_path / "files" / name).write_bytes("".join(parts).encode())
+    whole = chunk_documents(read_text_documents(spark, str(tmp_path / "files")), size, overlap)
+    assert normal(read_chunks(spark, str(tmp_path / "parts"), "*.txt", size, overlap, parts=True)) == normal(whole)
+
+
+def dealt(df) -> list[tuple[str, str]]:
+    """What each exchange deals its rows by, and the columns it moves."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [(by, given) for given, by in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(([^()]*), \d+\)", plan)]
+
+
+def test_lines_move_to_their_split(spark, folder, small_splits):
+    """No task gets the lines of a file, however large it is."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = [by for by, given in dealt(read_lines(spark, folder, "*.txt")) if re.search(r"\b(text|value)#", given)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and all("block#" in by for by in moved)
+
+
+def test_a_language_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = [(i, "en", f"text {i} " * 50) for i in range(2000)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr("contract.queries.workspace", lambda *_: str(tmp_path / "files"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if there were more
+    try:
+        rows = queries()["read_chunks"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(list((tmp_path / "files" / "lang=en").glob("part-*.txt"))) > 1
+    text = "".join(f"{t}\n" for _, _, t in texts)
+    want = {n: hashlib.md5(text[max(n * 1000 - 100, 0) : (n + 1) * 1000].encode()).hexdigest() for n in range(-(-len(text) // 1000))}
+    assert {r.chunk_idx: r.text_md5 for r in rows} == want and {(r.lang, r.total_chunks) for r in rows} == {("en", len(want))}
+
+
 def test_wrong_size(spark, folder):
     with pytest.raises(ValueError):
         read_chunks(spark, folder, chunk_size=0)

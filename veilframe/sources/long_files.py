@@ -18,13 +18,15 @@ from veilframe.operators.steps import compute_once, spread
 FILE = ["path", "block"]
 
 
-def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    """Lines as bytes that form text, with their file, split and order in it."""
+def _lines(spark: SparkSession, path: str, glob: str | None, parts: bool = False) -> DataFrame:
+    """Lines as bytes that form text, with their text, file, split and order in it."""
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
+    file = F.col("_metadata.file_path")
     return reader.text(path).select(
-        F.col("_metadata.file_path").alias("path"),
+        file.alias("path"),
+        (F.regexp_replace(file, "/[^/]*$", "") if parts else file).alias("whole"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
@@ -39,48 +41,62 @@ def _clean(text: Column, ended: Column) -> Column:
     return F.regexp_replace(whole, F.lit("\r\n?"), F.lit("\n"))
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, parts: bool = False) -> DataFrame:
     """Lines of text files: path, file_size, total (code points of the file), start (the line's first one), text.
 
     Bad UTF-8 is replaced and line ends become LF, as `read_text_documents` does.  Put
     together in the order of `start`, the lines of a file are its text.
+
+    With `parts`, the files of a folder are the parts of one text, in the order of their
+    names, as Spark writes a sorted table; `path` is the folder and `file_size` the sum.
+    Each part is decoded on its own, so one has to end with a line.
+
+    Lines move once, to their split: what is to be known of a file is found from one row
+    per split, so the tasks do not grow with the files.
     """
-    raw = _lines(spark, path, glob)
+    raw = _lines(spark, path, glob, parts)
     # whether the last line is ended, and whether Spark left a byte order mark out, follows from the size
-    per_file = raw.groupBy("path").agg(
-        F.max("file_size").alias("file_size"), F.max(F.struct("block", "line")).alias("last"), F.min(F.struct("block", "line")).alias("first"),
-        F.sum(F.col("bytes") + 1).alias("counted"),
+    per_split = raw.groupBy(*FILE, "whole").agg(
+        F.max("file_size").alias("file_size"), F.max("line").alias("split_last"), F.min("line").alias("split_first"), F.sum(F.col("bytes") + 1).alias("counted")
     )
-    over = F.col("file_size") - F.col("counted")
-    files = per_file.select(
-        "path", F.col("last.line").alias("last_line"), F.col("first.line").alias("first_line"), over.isin(0, 3).alias("ended"), (over >= 2).alias("marked"),
-        F.when(~over.isin(-1, 0, 2, 3), F.raise_error(F.concat(F.lit("not a plain file: "), "path"))).alias("problem"),
+    file = Window.partitionBy("path")
+    over = F.col("file_size") - F.sum("counted").over(file)
+    known = per_split.select(
+        *FILE, F.when(F.col("block") == F.max("block").over(file), F.col("split_last")).alias("last_line"),
+        F.when(F.col("block") == F.min("block").over(file), F.col("split_first")).alias("first_line"), over.alias("over"),
+    ).select(
+        *FILE, "last_line", "first_line", F.col("over").isin(0, 3).alias("ended"), (F.col("over") >= 2).alias("marked"),
+        F.when(~F.col("over").isin(-1, 0, 2, 3), F.raise_error(F.concat(F.lit("not a plain file: "), "path"))).alias("problem"),
     )
-    lines = raw.join(files, "path").filter(F.col("problem").isNull()).withColumn("is_ended", (F.col("line") != F.col("last_line")) | F.col("ended"))
+    lines = raw.join(known, FILE).filter(F.col("problem").isNull())
+    is_ended = F.col("last_line").isNull() | (F.col("line") != F.col("last_line")) | F.col("ended")
     mark = F.when((F.col("line") == F.col("first_line")) & F.col("marked"), F.lit("﻿")).otherwise(F.lit(""))
-    texts = lines.select("path", "file_size", "block", "line", F.concat(mark, _clean(F.col("text"), F.col("is_ended"))).alias("text"))
+    texts = lines.select("whole", *FILE, "file_size", "line", F.concat(mark, _clean(F.col("text"), is_ended)).alias("text"))
     texts = texts.withColumn("n", F.length("text").cast("long"))
-    per_split = texts.groupBy(*FILE).agg(F.sum("n").alias("split_n"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = per_split.select(
-        *FILE, F.coalesce(F.sum("split_n").over(before), F.lit(0)).alias("split_start"), F.sum("split_n").over(Window.partitionBy("path")).alias("total")
+    sizes = texts.groupBy("whole", *FILE).agg(F.max("file_size").alias("size"), F.sum("n").alias("split_n"))
+    whole = Window.partitionBy("whole")
+    before = whole.orderBy(*FILE).rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.select(
+        *FILE, F.coalesce(F.sum("split_n").over(before), F.lit(0)).alias("split_start"), F.sum("split_n").over(whole).alias("total"),
+        F.sum(F.when(F.col("block") == 0, F.col("size"))).over(whole).alias("whole_size"),
     )
     within = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     placed = texts.join(splits, FILE).withColumn("start", F.col("split_start") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return placed.select("path", "file_size", "total", "start", "text")
+    return placed.select(F.col("whole").alias("path"), F.col("whole_size").alias("file_size"), "total", "start", "text")
 
 
 def read_chunks(
-    spark: SparkSession, path: str, glob: str | None = None, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP
+    spark: SparkSession, path: str, glob: str | None = None, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP, parts: bool = False
 ) -> DataFrame:
     """One row per chunk of text files of any size: path, file_size, chunk_idx, total_chunks, text.
 
-    The chunks are those of `chunk_documents` on `read_text_documents`.
+    The chunks are those of `chunk_documents` on `read_text_documents`.  With `parts`, the
+    files of a folder are one text, see `read_lines`.
     """
     if chunk_size < 1:
         raise ValueError("chunk_size must be positive")
     keep = max(0, min(overlap, chunk_size))
-    lines = read_lines(spark, path, glob).withColumn("room", (chunk_size - F.col("start") % chunk_size).cast("int"))
+    lines = read_lines(spark, path, glob, parts).withColumn("room", (chunk_size - F.col("start") % chunk_size).cast("int"))
     # the part in the line's first chunk, then parts of whole chunks
     rest = F.expr("substring(text, room + 1)")
     parts = F.when(F.length("text") <= F.col("room"), F.array("text")).otherwise(F.concat(F.array(F.left("text", F.col("room"))), pieces(rest, chunk_size)))
