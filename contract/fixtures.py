@@ -15,6 +15,7 @@ from veilframe.sources.documents import read_documents
 from veilframe.sources.weights import Weights, layer_sizes
 
 K = "c_custkey"
+CUSTOMERS_PER_TASK = 10_000
 
 # --- texts with hits for all general patterns, one per customer -------------
 PARTS = {
@@ -150,25 +151,29 @@ class Tables:
     def texts(self, name: str, *columns: str) -> DataFrame:
         return read_documents(self.spark, f"{self.sf_dir}/{name}.parquet", columns=list(columns))
 
+    def customers(self) -> DataFrame:
+        """The keys, few bytes each, of which every row becomes texts, messages and findings."""
+        return read_documents(self.spark, f"{self.sf_dir}/customer.parquet", columns=["c_custkey"], rows_per_task=CUSTOMERS_PER_TASK)
+
     def _sql(self, sql: str, **tables: DataFrame) -> DataFrame:
         return self.spark.sql(
             _braced(sql.replace("FMT(", "format_string("), tables), **tables
         )
 
     def us(self) -> DataFrame:
-        return self._sql(US_SQL, customer=self.texts("customer", "c_custkey"))
+        return self._sql(US_SQL, customer=self.customers())
 
     def ar(self) -> DataFrame:
-        return self._sql(AR_SQL, customer=self.texts("customer", "c_custkey"))
+        return self._sql(AR_SQL, customer=self.customers())
 
     def documents(self) -> DataFrame:
         return self.texts("documents", "doc_id", "text")
 
     def corpus(self) -> DataFrame:
-        return self._sql(CORPUS_SQL, customer=self.texts("customer", "c_custkey"), documents=self.texts("documents", "doc_id", "text"))
+        return self._sql(CORPUS_SQL, customer=self.customers(), documents=self.texts("documents", "doc_id", "text"))
 
     def fields(self) -> DataFrame:
-        return self._sql(FIELDS_SQL, customer=self.texts("customer", "c_custkey"))
+        return self._sql(FIELDS_SQL, customer=self.customers())
 
     def spans(self, tagger: str) -> DataFrame:
         return self._sql(spans_sql(tagger), fields=self.fields())
@@ -177,7 +182,7 @@ class Tables:
         return self._sql(RESPONSES_SQL, fields=self.fields())
 
     def jobs(self) -> DataFrame:
-        return self._sql(JOBS_SQL, customer=self.texts("customer", "c_custkey"))
+        return self._sql(JOBS_SQL, customer=self.customers())
 
     def vectors(self) -> DataFrame:
         return self.read("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")

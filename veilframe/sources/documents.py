@@ -22,17 +22,24 @@ def read_text_documents(spark: SparkSession, path: str, glob: str | None = None)
     return files.select("path", F.col("length").alias("file_size"), decode_utf8(F.col("content")).alias("text"))
 
 
-def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", columns: list[str] | None = None) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, fmt: str = "parquet", columns: list[str] | None = None, rows_per_task: int | None = None
+) -> DataFrame:
     """A table of documents, dealt out if it comes in fewer splits than cores.
 
     Searching text costs far more than moving it once.  A large table has more
     splits than cores and is read in place, without a shuffle.
+
+    Splits go by bytes.  Of a table of short rows that grow by what is made of them, a
+    split holds too many: `rows_per_task` says how many, and such a table is dealt out, too.
     """
     docs = spark.read.format(fmt).load(path)
     if columns is not None:
         docs = docs.select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    least = spark.sparkContext.defaultParallelism
+    if rows_per_task is not None:
+        least = max(least, -(-docs.count() // rows_per_task))
+    return docs.repartition(least) if docs.rdd.getNumPartitions() < least else docs
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
