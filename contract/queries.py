@@ -101,10 +101,15 @@ def job_requests_(t):
     )
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """A side that grows with its table: Spark takes texts made of short keys for small and would broadcast them."""
+    return df.hint("merge")
+
+
 def task_messages(t: Tables) -> DataFrame:
     """store_text messages of all jobs, chunks of the customer texts."""
     chunks = chunking.chunk_documents(
-        job_requests(t.jobs()).join(t.us().select("doc_id", "text"), "doc_id"), MSG_CHUNK, MSG_OVERLAP
+        job_requests(t.jobs()).join(_merged(t.us().select("doc_id", "text")), "doc_id"), MSG_CHUNK, MSG_OVERLAP
     )
     out = messages.text_messages(chunks)
     return out.withColumn("seq", F.lit(0).cast("long")).withColumn(
@@ -292,7 +297,7 @@ def detect_regex_scored(t):
 
 @query
 def detect_international(t):
-    asked = job_requests(t.jobs()).select("doc_id", "countries").join(t.ar(), "doc_id")
+    asked = job_requests(t.jobs()).select("doc_id", "countries").join(_merged(t.ar()), "doc_id")
     return _with_country(detection.detect_international(asked, F.col("countries")))
 
 
@@ -609,7 +614,7 @@ def mask(t):
 
 @query
 def transform_data(t):
-    asked = detection.detect_regex(t.us().join(t.jobs().select("doc_id", "transform_method"), "doc_id"))
+    asked = detection.detect_regex(_merged(t.us()).join(t.jobs().select("doc_id", "transform_method"), "doc_id"))
     out = transform.transform_data(
         asked.withColumnRenamed("findings", "pii_matches"), SALT, F.col("transform_method"), NONCE
     )
@@ -779,7 +784,7 @@ def detect_document_findings(t):
 @query
 def detect_jobs_(t):
     vectors = t.vectors()
-    asked = job_requests(t.jobs()).select("doc_id", "methods", "countries").join(t.us().drop("chunk_idx"), "doc_id")
+    asked = job_requests(t.jobs()).select("doc_id", "methods", "countries").join(_merged(t.us().drop("chunk_idx")), "doc_id")
     out = detect_jobs(
         asked.join(vectors, "doc_id", "left"), t.spans("presidio"), t.spans("ner"), t.responses(), rule_weights(), CHUNK, OVERLAP
     )
