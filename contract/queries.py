@@ -682,7 +682,7 @@ def stream_detect_ml(t):
 
 def _store(t, base: str) -> str:
     stored = messages.with_job_bucket(messages.as_messages(all_messages(t)), 8)
-    stored.repartition(8, "job_bucket").write.partitionBy("job_bucket").parquet(f"{base}/store")
+    stored.repartition("job_bucket", "job_id").write.partitionBy("job_bucket").parquet(f"{base}/store")
     return f"{base}/store"
 
 
@@ -749,7 +749,9 @@ def stream_expire_jobs(t):
     store = _store(t, base)
     stream = messages.read_message_stream(t.spark, store, "parquet", messages.STORED)
     late = stream_jobs.stream_expire_jobs(stream, "1 minute")
-    results.write_result_stream(late, f"{base}/out", f"{base}/check", once=True).awaitTermination()
+    with stream_state.rocksdb(t.spark):  # the state of all jobs is on disk
+        query = results.write_result_stream(late, f"{base}/out", f"{base}/check", once=True)
+    query.awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("job_id", "reports", "expected", "status")
 
 
