@@ -680,6 +680,10 @@ def stream_detect_ml(t):
     )
 
 
+#: A batch of the streams by arrival: many small files, as a store by hour and bucket has them.
+BATCH_BYTES = 128 << 20
+
+
 def _store(t, base: str) -> str:
     stored = messages.with_job_bucket(messages.as_messages(all_messages(t)), 8)
     stored.repartition("job_bucket", "job_id").write.partitionBy("job_bucket").parquet(f"{base}/store")
@@ -689,8 +693,8 @@ def _store(t, base: str) -> str:
 def _arrived(t, base: str) -> DataFrame:
     """The messages as a stream of a table by arrival, which is written first."""
     placed = messages.with_job_bucket(messages.with_arrival(messages.as_messages(all_messages(t)), F.col("submitted_ts")), 8)
-    placed.repartition(8, "job_bucket").write.partitionBy("arrival", "job_bucket").parquet(f"{base}/store")
-    return messages.read_message_stream(t.spark, f"{base}/store", "parquet", messages.STORED_BY_ARRIVAL, 4)
+    placed.repartition("arrival", "job_bucket").write.partitionBy("arrival", "job_bucket").parquet(f"{base}/store")
+    return messages.read_message_stream(t.spark, f"{base}/store", "parquet", messages.STORED_BY_ARRIVAL, max_bytes=BATCH_BYTES)
 
 
 def _complete(t, salt=None) -> str:

@@ -21,12 +21,20 @@ ARRIVAL_SECONDS = 3600
 
 
 def read_message_stream(
-    spark: SparkSession, path: str, fmt: str = "json", schema: StructType = MESSAGE, max_files: int | None = None
+    spark: SparkSession, path: str, fmt: str = "json", schema: StructType = MESSAGE, max_files: int | None = None, max_bytes: int | None = None
 ) -> DataFrame:
-    """Messages as a stream; rows without a job are skipped."""
+    """Messages as a stream; rows without a job are skipped.
+
+    A batch takes `max_files` files, or files of `max_bytes` in all.  Where a table has
+    many small files, bytes keep the number of batches to what its rows need.
+    """
+    if max_files is not None and max_bytes is not None:
+        raise ValueError("a batch is bounded by files or by bytes")
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.load(path).filter(F.col("job_id").isNotNull())
 
 

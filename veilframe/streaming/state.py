@@ -1,8 +1,9 @@
 """State kept by job, in the RocksDB store, with timers of its own.
 
 What is kept is small: which reports are in, counts, times.  Texts and findings stay
-in the message table.  A job with very many messages has as many small entries in the
-store, on disk, and never has to fit in one row.
+in the message table.  A job with very many messages has bits of them in blocks in the
+store, on disk, and never has to fit in one row.  The rows of a batch are folded before
+they meet the store, so calls to it go by jobs and blocks, not by rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,26 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 JOB_EVENTS = "job_id string, status string, reports long, expected long, first_arrival int, last_arrival int"
 PROGRESS = "job_id long, processed_chunks long, total_chunks int, progress int, status string, duration double"
 
+#: Chunks are kept as bits, so many to an entry of the store: each call to the store is a round trip.
+BLOCK = 4096
+#: The block of messages without a chunk, beyond those of any int.
+NO_CHUNK = 2**62
+#: So many blocks are gathered before they go to the store.
+MAX_BLOCKS = 10_000
+
+
+def place(chunk_idx: int | None) -> tuple[int, int]:
+    """A chunk's block and its bit in it."""
+    return (NO_CHUNK, 1) if chunk_idx is None else (chunk_idx // BLOCK, 1 << chunk_idx % BLOCK)
+
+
+def packed(bits: int) -> bytes:
+    return bits.to_bytes((bits.bit_length() + 7) // 8, "little")
+
+
+def unpacked(held: bytes) -> int:
+    return int.from_bytes(held, "little")
+
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
@@ -51,7 +72,7 @@ class JobTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "service string, chunk_idx int", "n int")
+        self.seen = handle.getMapState("seen", "service string, block long", "bits binary")
         self.figures = handle.getValueState("figures", "reports long, expected long, first int, last int, due long")
         self.told = handle.getValueState("told", "status string", self.remember_ms)
 
@@ -59,39 +80,62 @@ class JobTracker(StatefulProcessor):
         if self.told.exists():
             return
         held = self.figures.get()
-        if held is None:
+        is_new = held is None
+        if is_new:
             due = None
             if self.timeout_ms is not None:
                 due = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
                 self.handle.registerTimer(due)
             held = (0, 0, None, None, due)
         reports, expected, first, last, due = held
+        stored = not is_new  # whether there may be blocks of this job in the store
+        blocks: dict[tuple, int] = {}
         for r in rows:
             first = r.arrival if first is None else min(first, r.arrival)
             last = r.arrival if last is None else max(last, r.arrival)
             if r.needed is None:  # a message that nobody waits for
                 continue
-            place = (r.service, r.chunk_idx)
-            if not self.seen.containsKey(place):
-                self.seen.updateValue(place, (1,))
-                reports += 1
+            block, bit = place(r.chunk_idx)
+            blocks[r.service, block] = blocks.get((r.service, block), 0) | bit
             expected = max(expected, (r.total_chunks or 0) * r.needed)
-        figures = (reports, expected, first, last, due)
-        if expected and reports >= expected:
+            if len(blocks) >= MAX_BLOCKS:
+                reports += self._keep(self._news(blocks, stored))
+                blocks, stored = {}, True
+        news = self._news(blocks, stored)
+        added = sum(n for _, n in news.values())
+        figures = (reports + added, expected, first, last, due)
+        if expected and reports + added >= expected:
             if due is not None:
                 self.handle.deleteTimer(due)
-            yield self._tell(key, "complete", figures)
+            yield self._tell(key, "complete", figures, stored)
         else:
+            self._keep(news)
             self.figures.update(figures)
 
+    def _news(self, blocks: dict[tuple, int], stored: bool) -> dict[tuple, tuple[int, int]]:
+        """The blocks that have changed, each with the number of places that are new in it."""
+        news = {}
+        for at, bits in blocks.items():
+            held = self.seen.getValue(at) if stored else None
+            before = 0 if held is None else unpacked(held[0])
+            if bits | before != before:
+                news[at] = (bits | before, (bits & ~before).bit_count())
+        return news
+
+    def _keep(self, news: dict[tuple, tuple[int, int]]) -> int:
+        for at, (bits, _) in news.items():
+            self.seen.updateValue(at, (packed(bits),))
+        return sum(n for _, n in news.values())
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         figures = self.figures.get()
         if figures is not None:
-            yield self._tell(key, "incomplete", figures)
+            yield self._tell(key, "incomplete", figures, True)
 
-    def _tell(self, key, status: str, figures: tuple) -> Row:
-        self.seen.clear()
-        self.figures.clear()
+    def _tell(self, key, status: str, figures: tuple, stored: bool) -> Row:
+        if stored:
+            self.seen.clear()
+            self.figures.clear()
         self.told.update((status,))
         reports, expected, first, last, _ = figures
         return Row(job_id=key[0], status=status, reports=reports, expected=expected, first_arrival=first, last_arrival=last)
@@ -129,30 +173,52 @@ class ProgressTracker(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.failed = handle.getMapState("failed", "chunk_idx long", "failed boolean", self.keep_ms)
+        self.chunks = handle.getMapState("chunks", "block long", "seen binary, failed binary", self.keep_ms)
         self.figures = handle.getValueState(
             "figures", "processed long, total int, failed boolean, first_us long, last_us long", self.keep_ms
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        processed, total, any_failed, first, last = self.figures.get() or (0, 0, False, None, None)
+        held = self.figures.get()
+        stored = held is not None
+        processed, total, any_failed, first, last = held if stored else (0, 0, False, None, None)
+        blocks: dict[int, list[int]] = {}
         for r in rows:
-            held = self.failed.getValue((r.chunk_idx,))
-            before = None if held is None else held[0]
-            now = bool(before) or r.failed
-            if now != before:  # a chunk is new, or fails after all
-                self.failed.updateValue((r.chunk_idx,), (now,))
-                processed += (not now) - (before is False)
-            total, any_failed = max(total, r.total_chunks), any_failed or now
-            first = r.at_us if first is None else min(first, r.at_us)
-            last = r.at_us if last is None else max(last, r.at_us)
+            if r.failed is not None:  # else its outcome is not known yet
+                block, bit = place(r.chunk_idx)
+                bits = blocks.setdefault(block, [0, 0])
+                bits[0] |= bit
+                if r.failed:
+                    bits[1] |= bit
+                    any_failed = True
+            if r.total_chunks is not None:
+                total = max(total, r.total_chunks)
+            if r.at_us is not None:
+                first = r.at_us if first is None else min(first, r.at_us)
+                last = r.at_us if last is None else max(last, r.at_us)
+            if len(blocks) >= MAX_BLOCKS:
+                processed += self._keep(blocks, stored)
+                blocks, stored = {}, True
+        processed += self._keep(blocks, stored)
         self.figures.update((processed, total, any_failed, first, last))
         status = "failed" if any_failed else "aggregating" if processed >= total else "processing"
         yield Row(
             job_id=key[0], processed_chunks=processed, total_chunks=total, progress=int(processed / total * 50) if total else None,
-            status=status, duration=(last - first) / 1e6,
+            status=status, duration=None if first is None else (last - first) / 1e6,
         )
 
+    def _keep(self, blocks: dict[int, list[int]], stored: bool) -> int:
+        """Store what is new; by how many chunks without a failure there are more now."""
+        more = 0
+        for block, (seen, failed) in blocks.items():
+            held = self.chunks.getValue((block,)) if stored else None
+            was_seen, was_failed = (0, 0) if held is None else map(unpacked, held)
+            seen, failed = seen | was_seen, failed | was_failed
+            if (seen, failed) != (was_seen, was_failed):
+                self.chunks.updateValue((block,), (packed(seen), packed(failed)))
+                more += (seen & ~failed).bit_count() - (was_seen & ~was_failed).bit_count()
+        return more
+
     def close(self) -> None:
         pass
 
